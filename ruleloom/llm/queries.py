@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lengths, media, packing, pieces, secrets, urls
+from . import embed, lengths, media, neardup, packing, pieces, quality, secrets, suffix, urls
 from .common import table
 
 
@@ -28,6 +28,13 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages").select("page_id", "url"), listed_urls(spark, sf_dir)).drop("url")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.trained(docs, table(spark, sf_dir, "labels"), quality.learnable())
+    got = quality.scored(docs, model)
+    return got.select("doc_id", (~quality.learnable()).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -36,6 +43,14 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.stored(table(spark, sf_dir, "documents")))
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
@@ -44,7 +59,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_url_filter, op4_sentencepiece, op5_media_columns, op8_packing, op9_token_counts)}
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_url_filter, op3_quality, op4_sentencepiece, op5_media_columns, op6_minhash_dedup, op7_suffix_dedup, op8_packing, op9_token_counts, op10_embedding_dedup)}
 
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
