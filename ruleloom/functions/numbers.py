@@ -76,20 +76,20 @@ def mul(a, b) -> Term:
 
 
 def _unscaled(x: Term) -> Column:
-    return (F.abs(x.value) * F.lit(10**x.scale).cast(f"decimal({x.scale + 1},0)")).try_cast("decimal(38,0)") if x.scale else F.abs(x.value).try_cast("decimal(38,0)")
+    return (F.abs(x.value) * F.lit(str(10**x.scale)).cast(f"decimal({x.scale + 1},0)")).try_cast("decimal(38,0)") if x.scale else F.abs(x.value).try_cast("decimal(38,0)")
 
 
 def div(a, b) -> Term:
-    """Long division on whole numbers: quotient and remainder of |a| * 10^(10 + sb) by |b| * 10^sa."""
+    """Long division on whole numbers, from the unscaled values: ten more digits for the quotient, and the difference in scale."""
     a, b = as_num(a), as_num(b)
-    ua, ub = _narrow(_unscaled(a), 27 - b.scale), _narrow(_unscaled(b), 37 - a.scale)
-    power = lambda n: F.lit(10**n).cast(f"decimal({n + 1},0)")
-    n = (ua * power(QUOTIENT + b.scale)).try_cast("decimal(38,0)")
-    m = F.nullif((ub * power(a.scale)).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    up, down = QUOTIENT + max(0, b.scale - a.scale), max(0, a.scale - b.scale)
+    power = lambda n: F.lit(str(10**n)).cast(f"decimal({n + 1},0)")
+    n = (_narrow(_unscaled(a), 37 - up) * power(up)).try_cast("decimal(38,0)")
+    m = F.nullif((_narrow(_unscaled(b), 37 - down) * power(down)).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
 
     def quotient(n, m, r, minus):
         q = ((n - r).try_cast("decimal(38,0)") / m).try_cast("decimal(28,0)") + F.when(r * 2 >= m, 1).otherwise(0)
-        size = (q.try_cast("decimal(28,0)") * F.lit("0.0000000001").cast("decimal(10,10)")).try_cast(f"decimal(38,{QUOTIENT})")
+        size = (q.try_cast("decimal(27,0)") * F.lit("0.0000000001").cast("decimal(10,10)")).try_cast(f"decimal(38,{QUOTIENT})")
         digits = lambda v: F.char_length(F.regexp_extract(v.cast("string"), r"\.([0-9]*?)0*\z", 1))
         return let(lambda v: F.struct(F.when(minus, -v).otherwise(v).alias("value"), F.when(r == 0, digits(v)).otherwise(QUOTIENT).alias("shown")), size)
 

@@ -196,11 +196,11 @@ def as_text(x) -> Term:
     return failing("E_NOT_TEXT", TEXT, x)
 
 
-FRACTION = 10
+FRACTION = 6
 
 
-def as_num(x) -> Term:
-    """Number of a Term. Texts must have the form of a number; at most FRACTION fraction digits are held, beyond it is E_RANGE."""
+def as_num(x, fraction: int = FRACTION) -> Term:
+    """Number of a Term. Texts must have the form of a number; more than ``fraction`` fraction digits are E_RANGE."""
     x = term(x)
     if x.kind == NUM:
         return x
@@ -212,8 +212,8 @@ def as_num(x) -> Term:
         return number(x.literal) if _NUMBER.match(x.literal) else failing("E_NOT_NUM", NUM, x)
     ok = x.value.rlike(r"^-?[0-9]+(\.[0-9]+)?\z")
     shown = F.when(F.instr(x.value, ".") > 0, F.char_length(x.value) - F.instr(x.value, ".")).otherwise(0)
-    value = F.when(ok & (shown <= FRACTION), x.value.try_cast(f"decimal({DIGITS - FRACTION + FRACTION},{FRACTION})"))
-    return made(NUM, value, x, errors=(failed(~ok, "E_NOT_NUM"), failed(value.isNull() & ok, "E_RANGE")), precision=DIGITS, scale=FRACTION, shown=shown)
+    value = F.when(ok & (shown <= fraction), x.value.try_cast(f"decimal({DIGITS},{fraction})"))
+    return made(NUM, value, x, errors=(failed(~ok, "E_NOT_NUM"), failed(value.isNull() & ok, "E_RANGE")), precision=DIGITS, scale=fraction, shown=shown)
 
 
 def as_bytes(x) -> Term:

@@ -49,7 +49,20 @@ def _lines(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "lineitem", ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 
-QTY, PRICE, DISC, TAX = money("l_quantity"), money("l_extendedprice"), money("l_discount"), money("l_tax")
+def qty():
+    return money("l_quantity")
+
+
+def price():
+    return money("l_extendedprice")
+
+
+def disc():
+    return money("l_discount")
+
+
+def tax():
+    return money("l_tax")
 
 
 # flagship: an order rule over orders and their lines
@@ -81,7 +94,7 @@ def order_rule_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule with its aggregates lifted onto the child table."""
     orders = read(spark, sf_dir, "orders", ("o_totalprice",)).select("o_orderkey", "o_totalprice")
     lines = _lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
-    joined, t = lifted.attach(orders, lines, "o_orderkey", {"total": lifted.sum_(QTY * PRICE), "n": lifted.count(), "empty": lifted.count(QTY <= 0)})
+    joined, t = lifted.attach(orders, lines, "o_orderkey", {"total": lifted.sum_(qty() * price()), "n": lifted.count(), "empty": lifted.count(qty() <= 0)})
     rule = order_rule(t["n"], t["empty"], t["total"], money("o_totalprice"))
     return joined.select("o_orderkey", strict(t["n"]).cast("long").alias("n_lines"), strict(rule).alias("message"))
 
@@ -110,32 +123,32 @@ def order_rule_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_KEY}, CAST(qty * price AS VARCHAR) AS product, CAST(price - disc AS VARCHAR) AS difference, CAST(price * (1 - disc) * (1 + tax) AS VARCHAR) AS charge, CAST(-price AS VARCHAR) AS negative, CAST(price % (qty + 1) AS VARCHAR) AS rest FROM ({_LINES})")
 def arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cols = {"product": QTY * PRICE, "difference": PRICE - DISC, "charge": PRICE * (1 - DISC) * (1 + TAX), "negative": -PRICE, "rest": PRICE % (QTY + 1)}
+    cols = {"product": qty() * price(), "difference": price() - disc(), "charge": price() * (1 - disc()) * (1 + tax()), "negative": -price(), "rest": price() % (qty() + 1)}
     return _lines(spark, sf_dir).select(*_KEY.split(", "), *(shown(t).alias(n) for n, t in cols.items()))
 
 
 @query(f"SELECT {_KEY}, CAST(round(price, 1) AS VARCHAR) AS r1, CAST(floor(price) AS VARCHAR) AS fl, CAST(ceil(price) AS VARCHAR) AS ce, CAST(abs(qty - 25) AS VARCHAR) AS ab, CAST(sign(qty - 25) AS VARCHAR) AS sg, CAST(trunc(price) AS VARCHAR) AS tr, CAST(qty * qty * qty AS VARCHAR) AS cube FROM (SELECT * REPLACE (CAST(qty AS DECIMAL(10,2)) AS qty) FROM ({_LINES}))")
 def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = numbers
-    cols = {"r1": n.round_(PRICE, 1), "fl": n.floor(PRICE), "ce": n.ceil(PRICE), "ab": n.abs_(QTY - 25), "sg": n.sign(QTY - 25), "tr": n.trunc(PRICE), "cube": n.power(QTY, 3)}
+    cols = {"r1": n.round_(price(), 1), "fl": n.floor(price()), "ce": n.ceil(price()), "ab": n.abs_(qty() - 25), "sg": n.sign(qty() - 25), "tr": n.trunc(price()), "cube": n.power(qty(), 3)}
     return _lines(spark, sf_dir).select(*_KEY.split(", "), *(shown(t).alias(k) for k, t in cols.items()))
 
 
 @query(f"SELECT {_KEY}, CAST(least(qty, disc * 100, tax * 1000) AS DOUBLE) AS low, CAST(greatest(qty, disc * 100, tax * 1000) AS DOUBLE) AS high FROM ({_LINES})")
 def minimum_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    args = (QTY, DISC * 100, TAX * 1000)
+    args = (qty(), disc() * 100, tax() * 1000)
     return _lines(spark, sf_dir).select(*_KEY.split(", "), strict(numbers.min_(*args)).cast("double").alias("low"), strict(numbers.max_(*args)).cast("double").alias("high"))
 
 
 @query(f"SELECT {_KEY}, CAST((CAST(price * 100 AS BIGINT) * 20000 + CAST(qty * 100 AS BIGINT)) // (2 * CAST(qty * 100 AS BIGINT)) AS DOUBLE) / 10000 AS unit FROM ({_LINES})")
 def division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir).select(*_KEY.split(", "), strict(numbers.round_(PRICE / QTY, 4)).cast("double").alias("unit"))
+    return _lines(spark, sf_dir).select(*_KEY.split(", "), strict(numbers.round_(price() / qty(), 4)).cast("double").alias("unit"))
 
 
 @query(f"SELECT {_KEY}, qty < 10 AS lt, qty <= 10 AS le, qty = 10 AS eq, qty <> 10 AS ne, qty >= 10 AS ge, qty > 10 AS gt, (qty < 10 AND disc > 0.05) OR NOT tax > 0.03 AS mixed, (qty < 25) <> (disc < 0.05) AS one FROM ({_LINES})")
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     five, three = number("0.05"), number("0.03")
-    cols = {"lt": QTY < 10, "le": QTY <= 10, "eq": QTY == 10, "ne": QTY != 10, "ge": QTY >= 10, "gt": QTY > 10, "mixed": ((QTY < 10) & (DISC > five)) | ~(TAX > three), "one": (QTY < 25) ^ (DISC < five)}
+    cols = {"lt": qty() < 10, "le": qty() <= 10, "eq": qty() == 10, "ne": qty() != 10, "ge": qty() >= 10, "gt": qty() > 10, "mixed": ((qty() < 10) & (disc() > five)) | ~(tax() > three), "one": (qty() < 25) ^ (disc() < five)}
     return _lines(spark, sf_dir).select(*_KEY.split(", "), *(strict(t).alias(n) for n, t in cols.items()))
 
 
@@ -162,8 +175,8 @@ def text_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aggregates_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey")
     lines = _lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
-    big = DISC > number("0.05")
-    joined, t = lifted.attach(orders, lines, "o_orderkey", {"every": lifted.all_(QTY > 1), "some": lifted.any_(QTY >= 50), "n": lifted.count(big), "p": lifted.sum_(PRICE, big)})
+    big = disc() > number("0.05")
+    joined, t = lifted.attach(orders, lines, "o_orderkey", {"every": lifted.all_(qty() > 1), "some": lifted.any_(qty() >= 50), "n": lifted.count(big), "p": lifted.sum_(price(), big)})
     return joined.select("o_orderkey", strict(t["every"]).alias("every"), strict(t["some"]).alias("some"), strict(t["n"]).cast("long").alias("discounted"), strict(t["p"]).cast("double").alias("discounted_price"))
 
 
@@ -185,7 +198,7 @@ def join_lifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey")
     lines = _lines(spark, sf_dir).withColumnRenamed("l_orderkey", "o_orderkey")
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    joined, t = lifted.attach(orders, lines, "o_orderkey", {"large": lifted.join(QTY, ", ", order, QTY > 20)})
+    joined, t = lifted.attach(orders, lines, "o_orderkey", {"large": lifted.join(qty(), ", ", order, qty() > 20)})
     return joined.select("o_orderkey", strict(t["large"]).alias("large"))
 
 
@@ -261,7 +274,7 @@ def checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_KEY}, CASE WHEN qty = 25 THEN 'E_DIV_ZERO' END AS code, CASE WHEN qty = 25 THEN NULL ELSE CAST(round(100 / CAST(qty - 25 AS DOUBLE), 2) AS DOUBLE) END AS value FROM ({_LINES})")
 def error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = captured(numbers.round_(100 / (QTY - 25), 2))
+    c = captured(numbers.round_(100 / (qty() - 25), 2))
     return _lines(spark, sf_dir).select(*_KEY.split(", "), c["error"].alias("code"), c["value"].cast("double").alias("value"))
 
 

@@ -28,12 +28,12 @@ def routed(stream: DataFrame, rules: RuleSet, accept: Callable[[DataFrame, int],
     sink that remembers it writes each batch once."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        names = list(rules.rules)
-        done = rules.apply(batch, "capture")
+        done = batch.select("*", F.struct(*rules.columns("capture")).alias("__told"))
         ok = F.lit(True)
-        for n in names:
-            ok = ok & F.col(n)["error"].isNull() & (F.coalesce(F.col(n)["value"].cast("string"), F.lit("")) == "")
-        accept(done.where(ok).drop(*names), batch_id)
-        reject(done.where(~ok), batch_id)
+        for n in rules.rules:
+            r = F.col("__told")[n]
+            ok = ok & r["error"].isNull() & (F.coalesce(r["value"].cast("string"), F.lit("")) == "")
+        accept(done.where(ok).drop("__told"), batch_id)
+        reject(done.where(~ok).withColumnRenamed("__told", "told"), batch_id)
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
