@@ -7,13 +7,14 @@
    population count of two odd sketches estimates how many MinHash values differ; what can reach the threshold is
    confirmed on the full sets.
 4. Buckets that then still hold several components are compared in blocks of bounded size, members outside the largest
-   component against all, by sketch; only pairs that pass go on to the full sets. So a bucket of many near copies costs
-   its size, and no pair of different components in a bucket is left out.
+   component against all: first by sketch, then, for rows with a close pair, on the full sets. A block sends links that
+   join components, not pairs, so what moves follows a bucket's size, and no pair of different components is left out.
 
 At the threshold 0.8 a link is missed by all 32 bands with a chance of about 5e-8, and by the sketch with less.
 
 Defined results: null and empty texts, or texts without words, have no shingles and link with nothing; fewer words than a
-shingle are one shingle; repeated rows get the same answer, each its own row; rows with a null id link with nothing, their
+shingle are one shingle; repeated rows get the same answer, each its own row; where one id has different texts, the one with
+the smallest set hash stands for the id, and another is linked only through an equal set of some id; rows with a null id link with nothing, their
 component is null and they are kept; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -32,8 +33,8 @@ from .common import Scratch, group_starts, mix, slices, texts_of, whole_groups
 from .components import components
 
 HASHES, BANDS, SKETCH_WORDS = 128, 32, 8
-#: Differing MinHash values of a sketch comparison that are still confirmed; at 0.8 the mean is 25.6, the deviation 4.5.
-BLOCK = 512
+#: Rows of each side of a block of an open bucket.
+BLOCK = 256
 _REMEMBERED = 200_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -104,7 +105,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 s = shingles(t, size)
                 n.append(len(s))
                 if len(s):
-                    both = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+                    both = _named(s)
                     band, sketch = signature(s)
                 else:
                     both, band, sketch = np.zeros(2, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
@@ -118,21 +119,44 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h0 long, h1 long, bands array<long>, sketch array<long>")
 
 
+def _named(s: np.ndarray) -> np.ndarray:
+    """128-bit name of a set, as two integers."""
+    return np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)
+
+
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, size).tobytes() for t in texts_of(batch)], pa.binary())], names=["doc_id", "s"])
+            sets = [shingles(t, size) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_named(s)[0] for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "h0", "s"])
 
-    return docs.mapInArrow(run, "doc_id long, s binary")
+    return docs.mapInArrow(run, "doc_id long, h0 long, s binary")
 
 
-def _confirmed(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold. Only texts of documents in pairs are shuffled."""
-    hundred = round(threshold * 100)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """(doc_id, s): full sets of (doc_id, h0); only sets of these documents (and of a Bloom filter's false positives) are shuffled."""
     blocks = bloom.blocks_for(ids.count())
     asked = bloom.probed(docs, "doc_id", bloom.build(ids, "doc_id", blocks), blocks).where("__possible").drop("__possible")
-    sets = scratch.keep(_sets(asked, size).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return _sets(asked, size).join(ids, ["doc_id", "h0"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "s")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of open buckets as blocks of at most about BLOCK x BLOCK rows, sorted."""
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+    ni, nj = chunks(F.col("n") - F.col("most")), chunks(F.col("n"))
+    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    minor = rows.where("component <> major").withColumn("i", own(ni)).withColumn("j", every(nj)).withColumn("side", F.lit(0))
+    whole = rows.withColumn("j", own(nj)).withColumn("i", every(ni)).withColumn("side", F.lit(1))
+    both = minor.unionByName(whole).drop("n", "most", "major")
+    return both.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _confirmed(scratch: Scratch, docs: DataFrame, names: DataFrame, pairs: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the threshold. Only texts of documents in pairs are shuffled."""
+    hundred = round(threshold * 100)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct().join(names, "doc_id")
+    sets = scratch.keep(_sets_of(docs, ids, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
@@ -154,26 +178,79 @@ def _near(left: str, right: str, most: int):
     return sum((F.bit_count(F.get(left, i).bitwiseXOR(F.get(right, i))) for i in range(1, SKETCH_WORDS)), F.bit_count(F.get(left, 0).bitwiseXOR(F.get(right, 0)))) <= most
 
 
-def _across(rows: DataFrame, most: int) -> DataFrame:
-    """Pairs of different components, near by sketch, of blocks (key, i, j) with sides 0 (outside the largest component) and 1."""
+def _blocks(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of both sides of each block (key, i, j): 0, outside the bucket's largest component, and 1, all."""
+    side = t.column("side").to_numpy()
+    cuts = np.append(group_starts(t, ["key", "i", "j"]), t.num_rows)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
+
+
+def _close(t: pa.Table, l: np.ndarray, r: np.ndarray, most: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of different components that the sketches and the sizes of the sets allow, for some rows of l at once."""
+    comp, n = t.column("component").to_numpy(), t.column("n_shingles").to_numpy()
+    sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, SKETCH_WORDS)
+    for at in range(0, len(l), 256):
+        p = l[at : at + 256]
+        bits = np.zeros((len(p), len(r)), np.int64)
+        for w in range(SKETCH_WORDS):
+            bits += np.bitwise_count(sketch[p, w][:, None] ^ sketch[r, w])
+        small, large = np.minimum(n[p][:, None], n[r]), np.maximum(n[p][:, None], n[r])
+        x, y = np.nonzero((bits <= most) & (comp[p][:, None] != comp[r]) & (100 * small >= round(threshold * 100) * large))
+        yield p[x], r[y]
+
+
+def _asked(rows: DataFrame, most: int, threshold: float) -> DataFrame:
+    """(key, doc_id) of rows that are in some close pair: their sets are needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
-            side, doc, comp = (t.column(c).to_numpy() for c in ("side", "doc_id", "component"))
-            sketch = np.array(t.column("sketch").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(len(doc), SKETCH_WORDS)
-            cuts = np.append(group_starts(t, ["key", "i", "j"]), t.num_rows)
-            got: list[np.ndarray] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                l, r = a + np.flatnonzero(side[a:b] == 0), a + np.flatnonzero(side[a:b] == 1)
-                for at in range(0, len(l), 256):
-                    p = l[at : at + 256]
-                    bits = np.zeros((len(p), len(r)), np.int64)
-                    for w in range(SKETCH_WORDS):
-                        bits += np.bitwise_count(sketch[p, w][:, None] ^ sketch[r, w])
-                    x, y = np.nonzero((bits <= most) & (comp[p][:, None] != comp[r]))
-                    got.append(np.stack([doc[p[x]], doc[r[y]]], 1))
-            ab = np.unique(np.sort(np.concatenate(got), 1), axis=0) if got else np.empty((0, 2), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
+            need = np.zeros(t.num_rows, bool)
+            for l, r in _blocks(t):
+                for x, y in _close(t, l, r, most, threshold):
+                    need[x] = need[y] = True
+            yield t.select(["key", "doc_id"]).filter(pa.array(need)).combine_chunks().to_batches()[0] if need.any() else pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["key", "doc_id"])
+
+    return rows.mapInArrow(run, "key long, doc_id long")
+
+
+def _across(rows: DataFrame, most: int, threshold: float) -> DataFrame:
+    """Links (a, b) between different components, confirmed on the full sets within each block; enough to join what is linked
+    (a block gives fewer links than it has rows). Pairs that met in an earlier band are left to that one."""
+    hundred = round(threshold * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["key", "i", "j"], 1024):
+            doc, comp, key = (t.column(c).to_numpy() for c in ("doc_id", "component", "key"))
+            bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(t.num_rows, BANDS)
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("s")]
+            got: list[tuple[int, int]] = []
+            for l, r in _blocks(t):
+                top: dict[int, int] = {}
+
+                def find(c: int) -> int:
+                    while top.setdefault(c, c) != c:
+                        c = top[c]
+                    return c
+
+                for x, y in _close(t, l, r, most, threshold):
+                    for i in np.unique(x):
+                        near = y[x == i]
+                        shared = bands[near] == bands[i]
+                        near = near[bands[i][shared.argmax(1)] == key[i]]
+                        near = near[[find(int(comp[j])) != find(int(comp[i])) for j in near]] if len(near) else near
+                        if not len(near):
+                            continue
+                        own, size = sets[i], np.array([len(sets[j]) for j in near])
+                        every = np.concatenate([sets[j] for j in near])
+                        same = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+                        same = np.add.reduceat(same, np.cumsum(size) - size)
+                        for j in near[100 * same >= hundred * (len(own) + size - same)]:
+                            p, q = find(int(comp[i])), find(int(comp[j]))
+                            if p != q:
+                                top[max(p, q)] = min(p, q)
+                                got.append((int(doc[i]), int(doc[j])))
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
@@ -186,8 +263,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     most = most_bits(threshold)
     sigs = scratch.keep(signatures(docs, size))
     some = sigs.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.keep(some.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")))
-    reps = scratch.keep(some.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "h0", "h1"]))
+    twice = some.groupBy("doc_id").agg(F.min("h0").alias("low"), F.max("h0").alias("high")).where("low <> high").select("doc_id", "low")
+    one = some.select("doc_id", "h0", "h1").join(twice, "doc_id", "left").where("low is null or low = h0")
+    classes = scratch.keep(one.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep")))
+    reps = scratch.keep(some.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "h0", "h1"], "left_semi").dropDuplicates(["doc_id"]))
+    names = reps.select("doc_id", "h0")
 
     # buckets of at least two classes, with one centre each
     banded = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
@@ -195,34 +275,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     shared = banded.withColumn("o", F.col("doc_id").bitwiseXOR(mask)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"), F.max("o").alias("last"), F.min("band").alias("band")).where("o <> last")
     centres = shared.select("key", "n", F.col("o").bitwiseXOR(mask).alias("centre"))
     members = scratch.keep(banded.select("key", "doc_id").join(centres, "key"))
-    sketches = reps.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    sketches = reps.select("doc_id", "sketch")
     stars = members.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     side = lambda c, s: sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(s))
     near = scratch.keep(stars.join(side("b", "y"), "b").join(side("a", "x"), "a").where(_near("x", "y", most)).select("a", "b"))
-    links = _confirmed(scratch, docs, near, size, threshold)
-    first = scratch.keep(components(scratch, links))
+    links = _confirmed(scratch, docs, names, near, size, threshold)
+    first = components(scratch, links)
 
     # buckets that still hold several components; those of two members were compared above
     placed = members.where("n > 2").select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("major")).where("parts > 1").drop("parts")
-    rows = placed.join(open_, "key").join(sketches, "doc_id")
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
-    ni, nj = chunks(F.col("n") - F.col("most")), chunks(F.col("n"))
-    own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    minor = rows.where("component <> major").withColumn("i", own(ni)).withColumn("j", every(nj)).withColumn("side", F.lit(0))
-    whole = rows.withColumn("j", own(nj)).withColumn("i", every(ni)).withColumn("side", F.lit(1))
-    cols = ["key", "i", "j", "side", "doc_id", "component", "sketch"]
-    blocks = minor.select(cols).unionAll(whole.select(cols)).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = scratch.keep(_across(blocks, most).distinct().join(near, ["a", "b"], "left_anti"))
-    more = _confirmed(scratch, docs, rest, size, threshold)
-    # documents of one id are one node, even where their texts differ
-    same_id = some.join(classes, ["h0", "h1"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    twice = reps.groupBy("doc_id").count().where("count > 1")
-    same_id = same_id.join(twice.select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    joined = scratch.keep(components(scratch, links.unionAll(more).unionAll(same_id)))
+    light = reps.select("doc_id", "n_shingles", "sketch")
+    rows = scratch.keep(placed.join(open_, "key"))
+    asked = scratch.keep(_asked(_dealt(rows.join(light, "doc_id")), most, threshold).distinct())
+    ids = asked.select("doc_id").distinct().join(names, "doc_id")
+    sets = scratch.keep(_sets_of(docs, ids, size).join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"))
+    more = scratch.keep(_across(_dealt(rows.join(asked, ["key", "doc_id"], "left_semi").join(sets, "doc_id")), most, threshold).distinct())
+    joined = components(scratch, links.unionAll(more))
     by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h0", "h1", F.coalesce("component", "rep").alias("component_id"))
     answer = sigs.select("doc_id", "n_shingles", "h0", "h1").join(by_class, ["h0", "h1"], "left")
-    linked = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    linked = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return answer.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
