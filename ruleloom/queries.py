@@ -313,3 +313,49 @@ def event_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = ingest.exact(ingest.read(spark, f"{sf_dir}/events.parquet"), {"value": (18, 4)}, tolerance=None)
     low = num_col("value", 18, 4) < 10
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(strict(low)).alias("low"))
+
+
+@query(r"""SELECT p_partkey, ltrim(chr(9) || ' ' || p_brand || ' ', ' ' || chr(9) || chr(13) || chr(10)) AS l, rtrim(' ' || p_brand || chr(13) || chr(10), ' ' || chr(9) || chr(13) || chr(10)) AS r,
+  regexp_matches(p_name, '^-?[0-9]+(\.[0-9]+)?$') AS is_name, true AS is_size, CAST(p_size AS VARCHAR) = '7' AS seven FROM part""")
+def trimming_and_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brand, size = text_col("p_brand"), num_col(F.col("p_size").cast("decimal(10,0)"), 10, 0, "p_size")
+    cols = {"l": text.ltrim(logic.concat("\t ", brand, " ")), "r": text.rtrim(logic.concat(" ", brand, "\r\n")), "is_name": numbers.isnum(text_col("p_name")), "is_size": numbers.isnum(size), "seven": logic.eql(size, 7)}
+    return read(spark, sf_dir, "part").select("p_partkey", *(strict(t).alias(n) for n, t in cols.items()))
+
+
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS v, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part)
+SELECT p_partkey, coalesce(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) FILTER (WHERE length(v) > 4), '') AS long_keys, coalesce(string_agg(CAST(length(v) AS VARCHAR), '+' ORDER BY k), '') AS lengths,
+  CAST(sum(length(v)) AS BIGINT) AS total, CAST(count(*) FILTER (WHERE length(v) > 4) AS BIGINT) AS n_long, bool_or(k = 2) AS has_two FROM w GROUP BY 1""")
+def list_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters keep keys, maps renumber."""
+    words = text.split(text_col("p_name"), " ")
+    long = lists.filter_(words, lambda w, k: text.len_(w) > 4)
+    lengths = lists.map_(words, lambda w, k: text.len_(w))
+    cols = {"long_keys": lists.join(lists.indexes(long), ","), "lengths": lists.join(lengths, "+"), "has_two": lists.has(words, "2")}
+    whole = {"total": lists.sum_(words, lambda w, k: text.len_(w)), "n_long": lists.count(long)}
+    return read(spark, sf_dir, "part").select("p_partkey", *(strict(t).alias(n) for n, t in cols.items()), *(strict(t).cast("long").alias(n) for n, t in whole.items()))
+
+
+@query("SELECT doc_id, repeat('00', CAST(octet_length(encode(left(text, 40))) AS INTEGER)) AS x, lower(hex(encode(left(text, 40)))) AS a, lower(hex(encode(left(text, 40)))) AS o FROM documents WHERE text <> ''")
+def bitwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text.left(text_col("text"), 40)
+    cols = {"x": logic.bxor(t, t), "a": logic.band(t, t), "o": logic.bor(t, t)}
+    return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", *(strict(binary.to_hex(v)).alias(n) for n, v in cols.items()))
+
+
+@query("""WITH m AS (SELECT date_trunc('day', ts) AS start, 'type' AS rule, 'not a click' AS message FROM events WHERE event_type <> 'click'
+  UNION ALL SELECT date_trunc('day', ts), 'value', 'low' FROM events WHERE CAST(value AS DECIMAL(18,4)) < 10)
+SELECT strftime(start, '%Y-%m-%d') AS day, rule, message, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1, 2, 3""")
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events under rules, counted in event-time windows until the input is used up."""
+    import uuid
+
+    from .streaming import monitor
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    rules = RuleSet({"value": logic.if_(num_col("value", 18, 4) < 10, "low"), "type": logic.if_(logic.text_eq(text_col("event_type"), "click"), "", "not a click")})
+    counts = monitor.counted(ingest.exact(stream, {"value": (18, 4)}, None), rules, "ts", "1 day", "400 days")
+    name = f"counts_{uuid.uuid4().hex}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "rule", "message", "n")
