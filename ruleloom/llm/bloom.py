@@ -38,3 +38,10 @@ def probed(df: DataFrame, key: str, filter_: DataFrame, blocks: int, flag: str =
         hit = hit & (F.col(f"__w{i}").bitwiseAND(_bit(k, i)) != 0)
     joined = df.withColumn("__block", _block(k, blocks)).join(F.broadcast(filter_), "__block", "left")
     return joined.withColumn(flag, F.coalesce(hit, F.lit(False)) & k.isNotNull()).drop("__block", *(f"__w{i}" for i in range(WORDS)))
+
+
+def parted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key is surely not among keys, and the others: only these need a shuffle to be joined with keys."""
+    blocks = blocks_for(keys.count())
+    seen = probed(df, key, build(keys, key, blocks), blocks)
+    return seen.where("not __possible").drop("__possible"), seen.where("__possible").drop("__possible")

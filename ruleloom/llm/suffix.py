@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,24 +37,26 @@ from .common import Scratch, group_starts, mix, whole_groups
 
 LENGTH, GRAM, HOT = 100, 32, 20_000
 #: Bytes handled at once by a worker; longer documents are taken in overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _FROM, _COUNT = 21, (1 << 20) - 1  # bits of a packed (start, windows, flag)
 
 
-@lru_cache(maxsize=8)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    out = []
-    for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
-        p = np.full(n, np.uint64(b))
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
+_known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, n.bit_length()))
+    """At least n powers of the base and of its inverse modulo 2**64; one pair is kept, as long as was ever needed."""
+    global _known_powers
+    if len(_known_powers[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        out = []
+        for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
+            p = np.full(size, np.uint64(b))
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _known_powers = (out[0], out[1])
+    return _known_powers
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
@@ -244,7 +245,7 @@ def _intervals(doc: np.ndarray, span: np.ndarray, name: np.ndarray | None, lengt
 
 
 def _bytes_of(docs: DataFrame) -> DataFrame:
-    """(name, doc_id, first, bytes) of (doc_id, text, at: names, firsts and stops)."""
+    """(name, doc_id, first, hot, bytes) of (doc_id, text, at: names, firsts, stops and whether the name is hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,11 +253,11 @@ def _bytes_of(docs: DataFrame) -> DataFrame:
                 rows = []
                 for d, t, at in zip(*(batch.slice(i, 128).column(c).to_pylist() for c in range(3)), strict=True):
                     raw = t.encode("utf-8", "surrogatepass")
-                    rows += [(x["name"], d, x["first"], raw[x["first"] : x["stop"]]) for x in at]
-                names, ids, first, data = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(data, pa.binary())], names=["name", "doc_id", "first", "bytes"])
+                    rows += [(x["name"], d, x["first"], x["hot"], raw[x["first"] : x["stop"]]) for x in at]
+                names, ids, first, hot, data = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(ids, pa.int64()), pa.array(first, pa.int64()), pa.array(hot, pa.bool_()), pa.array(data, pa.binary())], names=["name", "doc_id", "first", "hot", "bytes"])
 
-    return docs.mapInArrow(run, "name long, doc_id long, first long, bytes binary")
+    return docs.mapInArrow(run, "name long, doc_id long, first long, hot boolean, bytes binary")
 
 
 class Sorted:
@@ -436,9 +437,7 @@ def _hot(rows: DataFrame, length: int) -> DataFrame:
 
 def _fetched(docs: DataFrame, ask: DataFrame) -> DataFrame:
     """(doc_id, text, ...) of documents in ask; a Bloom filter of bounded size keeps the other texts out of the shuffle."""
-    blocks = bloom.blocks_for(ask.count())
-    some = bloom.probed(docs, "doc_id", bloom.build(ask, "doc_id", blocks), blocks).where("__possible").drop("__possible")
-    return some.join(ask, "doc_id")
+    return bloom.parted(docs, ask, "doc_id")[1].join(ask, "doc_id")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
@@ -452,10 +451,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     rows = _named(usable, length, gram).repartition("slot").sortWithinPartitions("name", "whole", "doc_id", "span")
     told = scratch.keep(_told(rows, length))
     ask = told.where("name is not null")
-    per_doc = ask.groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "stop")).alias("at"))
+    many = ask.groupBy("name").count().where(F.col("count") > hot).select("name", F.lit(True).alias("hot"))
+    ask = ask.join(many, "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    per_doc = ask.groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "stop", "hot")).alias("at"))
     ends = scratch.keep(_bytes_of(_fetched(usable, scratch.keep(per_doc))))
-    many = ends.groupBy("name").count().where(F.col("count") > hot).select("name")
-    hot_rows, cool_rows = ends.join(many, "name", "left_semi"), ends.join(many, "name", "left_anti")
+    hot_rows, cool_rows = ends.where("hot"), ends.where("not hot")
     found = copies.unionAll(told.where("name is null").select("doc_id", "first", "stop")).unionAll(_compared(cool_rows, length, gram)).unionAll(_hot(hot_rows, length))
     return scratch.keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("at")))
 
@@ -481,9 +481,8 @@ def without(raw: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 def _joined(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs whose id is surely not in found, and the others with their intervals (null for none)."""
-    blocks = bloom.blocks_for(found.count())
-    seen = bloom.probed(docs, "doc_id", bloom.build(found, "doc_id", blocks), blocks)
-    return seen.where("not __possible").drop("__possible"), seen.where("__possible").drop("__possible").join(found.withColumnRenamed("at", "__at"), "doc_id", "left")
+    clean, maybe = bloom.parted(docs, found, "doc_id")
+    return clean, maybe.join(found.withColumnRenamed("at", "__at"), "doc_id", "left")
 
 
 def digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
