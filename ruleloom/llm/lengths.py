@@ -33,7 +33,7 @@ def histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None
     return docs.selectExpr(f"`{text}` as text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def suffix_sums(hist: DataFrame, width: int = 1024) -> DataFrame:
+def suffix_sums(hist: DataFrame, width: int = 64) -> DataFrame:
     """Adds docs_ge and tokens_ge (documents of at least this length, and their tokens), truncated_tokens (all tokens when
     every document is cut to this length) and quantile (share of documents of at most this length).
 
