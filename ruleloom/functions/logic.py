@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import BIN, BOOL, DIGITS, LIST, NUM, TEXT, Term, as_bool, as_bytes, as_num, as_text, failed, failing, first_error, let, made, term
+from .terms import BIN, BOOL, DIGITS, LIST, NUM, TEXT, Term, as_bool, as_bytes, as_text, failed, failing, first_error, let, made, term
 
 
 def _none() -> Column:

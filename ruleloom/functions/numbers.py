@@ -76,7 +76,9 @@ def mul(a, b) -> Term:
 
 
 def _unscaled(x: Term) -> Column:
-    return (F.abs(x.value) * F.lit(str(10**x.scale)).cast(f"decimal({x.scale + 1},0)")).try_cast("decimal(38,0)") if x.scale else F.abs(x.value).try_cast("decimal(38,0)")
+    """|x| without its decimal point."""
+    whole = F.abs(x.value) * F.lit(str(10**x.scale)).cast(f"decimal({x.scale + 1},0)") if x.scale else F.abs(x.value)
+    return whole.try_cast("decimal(38,0)")
 
 
 def div(a, b) -> Term:

@@ -8,6 +8,7 @@ raised where the function is reached.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -26,7 +27,7 @@ _PIECE = re.compile(
 )
 _MEMBER = re.compile(r"\\.|[^\\]", re.S)
 #: Letters that simple case folding maps to an ASCII letter (fixed values).
-FOLDED = {"k": "K", "s": "ſ"}
+FOLDED = {"k": "\u212a", "s": "\u017f"}
 
 
 class Syntax(ValueError):
@@ -170,6 +171,5 @@ def rreplace(pattern: str, by: str, subject, flags: str = "") -> Term:
 def matches_any(subject, *patterns: str) -> Term:
     """Whether one of several patterns matches."""
     from .logic import or_
-    from functools import reduce
 
     return reduce(or_, (rmatch(p, subject) for p in patterns), term(False))

@@ -13,10 +13,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MOST = 10_000_000
 
 
-def _int(x: Column) -> dict:
-    return {"precision": 10, "scale": 0}
-
-
 def _number(v: Column, *args: Term, errors=()) -> Term:
     return made(NUM, v.cast("decimal(10,0)"), *args, errors=errors, precision=10)
 
