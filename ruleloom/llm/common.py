@@ -25,6 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Rows of an Arrow batch where the session has Spark's default (10 000): rows hold whole texts, and a batch is held by both
+#: the executor and its Python worker.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size, unless it was set to something else than Spark's default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; lost executors do not lose them.
 
@@ -48,6 +60,17 @@ class Scratch:
             delete(self.spark, self.paths.pop(id(df)))
 
 
+def dealt_join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner", salts: int = 4) -> DataFrame:
+    """Join with a right side that has one row per key, where a key may hold a large share of the left rows.
+
+    Left rows of a key are dealt to several tasks by a hash of column ``by``, right rows are repeated for each. Both sides
+    are shuffled for it, so adaptive execution can split what is still too large.
+    """
+    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    each = right.withColumn("__salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(salts)))))
+    return dealt.join(each, [*keys, "__salt"], how).drop("__salt")
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
