@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, dealt_join
 
 ROUNDS = 60
 
@@ -22,10 +22,10 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         # every node's larger neighbours move to its smallest neighbour
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = dealt_join(both, least, ["u"], "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # every node's smaller neighbours, and the node, move to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = dealt_join(large, least, ["u"], "v").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = scratch.keep(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
         scratch.drop(now)
         now = new

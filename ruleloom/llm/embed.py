@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, group_starts, mix, slices, whole_groups
+from .common import Scratch, bounded_batches, dealt_join, freeing, group_starts, mix, slices, whole_groups
 from .components import components
 
 TABLES, PROBES, SCALE, BLOCK = 5, 4, 8.0, 512
@@ -97,6 +97,7 @@ def _units(rows: list[list[float]]) -> np.ndarray:
 def _entries(classes: DataFrame) -> DataFrame:
     """(key, place, rep): the cells of each class; place is table * (1 + PROBES) + probe, 0 the own cell."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1024):
             rep, label = (batch.column(i).to_numpy() for i in (0, 1))
@@ -144,6 +145,7 @@ def _first_meeting(kx: np.ndarray, ky: np.ndarray, x: np.ndarray, y: np.ndarray,
 def _compared(blocks: DataFrame, least: float) -> DataFrame:
     """(rep, links, other): links of a class from one block, or with links null an edge of its forest."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
             side, place, rep, label, n = (t.column(c).to_numpy() for c in ("side", "place", "rep", "label", "n"))
@@ -187,19 +189,20 @@ def _compared(blocks: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row."""
+    bounded_batches(vectors.sparkSession)
     scratch = Scratch(vectors.sparkSession, "embed")
     rows = vectors.selectExpr(f"`{id_col}` as vec_id", f"`{vector}` as embedding", f"cast(`{label}` as long) as label")
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", fine) & F.exists("embedding", lambda x: x != 0)
     rows = rows.withColumn("ok", F.coalesce(usable, F.lit(False))).withColumn("h0", F.xxhash64("label", "embedding")).withColumn("h1", F.xxhash64("embedding", "label", F.lit(7)))
     classes = rows.where("ok").groupBy("h0", "h1").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    full = classes.join(rows.where("ok").select("vec_id", "label", "embedding", "h0", "h1"), ["h0", "h1"]).where("vec_id = rep")
+    full = dealt_join(rows.where("ok").select("vec_id", "label", "embedding", "h0", "h1"), classes, ["h0", "h1"], "vec_id").where("vec_id = rep")
     classes = scratch.keep(full.dropDuplicates(["h0", "h1"]).select("h0", "h1", "rep", "n", "label", "embedding"))
 
     entries = scratch.keep(_entries(classes))
     home = (F.col("place") % (1 + PROBES) == 0).cast("int")
     met = entries.groupBy("key").agg(F.count(F.lit(1)).alias("all"), F.sum(home).alias("homes"), F.min("rep").alias("least"), F.max("rep").alias("most")).where("homes > 0 and least <> most").select("key", "all", "homes")
-    met = entries.join(met, "key")
+    met = dealt_join(entries, met, ["key"], "rep")
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int")
     own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -211,6 +214,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
     found = scratch.keep(_compared(blocks, least))
     links = found.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(scratch, found.where("links is null").select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
+    scratch.drop(entries)
     by_class = classes.select("h0", "h1", "rep", "n").join(links, "rep", "left").join(joined, "rep", "left")
     by_class = by_class.select("h0", "h1", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"), F.lit(True).alias("ok"))
     answer = rows.select("vec_id", "ok", "h0", "h1").join(by_class, ["h0", "h1", "ok"], "left")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import shared_dir, slices, texts_of
+from .common import bounded_batches, shared_dir, slices, texts_of
 
 COLUMNS = 64
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 48 << 20, 8 << 20, 8 << 20, 3
@@ -79,6 +79,7 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_archives(docs: DataFrame, root: str, id_col: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> int:
     """Stores every document's payload in archives below root; gives the number of members."""
+    bounded_batches(docs.sparkSession)
     files, path = _at(root)
     files.create_dir(path)
 

@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, group_starts, mix, slices, texts_of, whole_groups
+from .common import Scratch, bounded_batches, dealt_join, freeing, group_starts, mix, slices, texts_of, whole_groups
 from .components import components
 
 HASHES, BANDS, SKETCH_WORDS = 128, 32, 8
 #: Rows of each side of a block of an open bucket.
 BLOCK = 256
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
@@ -98,6 +98,7 @@ def most_bits(threshold: float) -> int:
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(doc_id, n_shingles, h0, h1, bands, sketch) of (doc_id, text)."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             n, high, lo, bands, sketches = [], [], [], [], []
@@ -125,6 +126,7 @@ def _named(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             sets = [shingles(t, size) for t in texts_of(batch)]
@@ -158,6 +160,7 @@ def _confirmed(scratch: Scratch, docs: DataFrame, names: DataFrame, pairs: DataF
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct().join(names, "doc_id")
     sets = scratch.keep(_sets_of(docs, ids, size))
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             ok = []
@@ -203,6 +206,7 @@ def _close(t: pa.Table, l: np.ndarray, r: np.ndarray, most: int, threshold: floa
 def _asked(rows: DataFrame, most: int, threshold: float) -> DataFrame:
     """(key, doc_id) of rows that are in some close pair: their sets are needed."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"]):
             need = np.zeros(t.num_rows, bool)
@@ -219,6 +223,7 @@ def _across(rows: DataFrame, most: int, threshold: float) -> DataFrame:
     (a block gives fewer links than it has rows). Pairs that met in an earlier band are left to that one."""
     hundred = round(threshold * 100)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["key", "i", "j"], 1024):
             doc, comp, key = (t.column(c).to_numpy() for c in ("doc_id", "component", "key"))
@@ -258,6 +263,7 @@ def _across(rows: DataFrame, most: int, threshold: float) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
     docs = docs.selectExpr(f"`{id_col}` as doc_id", f"`{text}` as text")
     most = most_bits(threshold)
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     mask = F.get(F.array(*map(F.lit, _MASKS)), F.col("band") % len(_MASKS))
     shared = banded.withColumn("o", F.col("doc_id").bitwiseXOR(mask)).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("o"), F.max("o").alias("last"), F.min("band").alias("band")).where("o <> last")
     centres = shared.select("key", "n", F.col("o").bitwiseXOR(mask).alias("centre"))
-    members = scratch.keep(banded.select("key", "doc_id").join(centres, "key"))
+    members = scratch.keep(dealt_join(banded.select("key", "doc_id"), centres, ["key"], "doc_id"))
     sketches = reps.select("doc_id", "sketch")
     stars = members.where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
     side = lambda c, s: sketches.select(F.col("doc_id").alias(c), F.col("sketch").alias(s))
@@ -287,12 +293,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     counts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     open_ = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("major")).where("parts > 1").drop("parts")
     light = reps.select("doc_id", "n_shingles", "sketch")
-    rows = scratch.keep(placed.join(open_, "key"))
+    rows = scratch.keep(dealt_join(placed, open_, ["key"], "doc_id"))
     asked = scratch.keep(_asked(_dealt(rows.join(light, "doc_id")), most, threshold).distinct())
     ids = asked.select("doc_id").distinct().join(names, "doc_id")
     sets = scratch.keep(_sets_of(docs, ids, size).join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"))
     more = scratch.keep(_across(_dealt(rows.join(asked, ["key", "doc_id"], "left_semi").join(sets, "doc_id")), most, threshold).distinct())
     joined = components(scratch, links.unionAll(more))
+    scratch.drop(reps, members, near, links, rows, asked, sets, more)
     by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h0", "h1", F.coalesce("component", "rep").alias("component_id"))
     answer = sigs.select("doc_id", "n_shingles", "h0", "h1").join(by_class, ["h0", "h1"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hex_crc32_fold, slices, texts_of
+from .common import bounded_batches, freeing, hex_crc32_fold, slices, texts_of
 
 #: Bounds of what the fit gathers: rows of trusted positives and of unlabelled text, with the smallest hashed ids.
 MAX_POSITIVE, MAX_UNLABELLED = 6000, 6000
@@ -94,10 +94,12 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, f): statistics of (doc_id, text)."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in texts_of(batch)], pa.list_(pa.float64()))], names=["doc_id", "f"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f array<double>")
 
 
@@ -128,12 +130,14 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     """Input rows of (doc_id, text) as (doc_id, score)."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             x = np.array([statistics(t) for t in texts_of(batch)]).reshape(-1, N_FEATURES)
             s = model.scores(x) if model is not None else np.ones(len(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
@@ -141,12 +145,14 @@ def kept(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) ->
     """docs without the rows that score below the threshold; all columns stay as they are."""
     at = docs.columns.index("text")
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             x = np.array([statistics("" if t is None else t) for t in batch.column(at).to_pylist()]).reshape(-1, N_FEATURES)
             s = model.scores(x) if model is not None else np.ones(len(x))
             yield batch.filter(pa.array(s >= threshold))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

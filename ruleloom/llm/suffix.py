@@ -33,11 +33,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import Scratch, group_starts, mix, whole_groups
+from .common import Scratch, bounded_batches, dealt_join, freeing, mix, whole_groups
 
 LENGTH, GRAM, HOT = 100, 32, 20_000
 #: Bytes handled at once by a worker; longer documents are taken in overlapping parts.
-PART = 1 << 18
+PART = 1 << 17
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _FROM, _COUNT = 21, (1 << 20) - 1  # bits of a packed (start, windows, flag)
 
@@ -146,7 +146,7 @@ def _laid(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.n
             name = hashlib.blake2b(raw, digest_size=16).digest()
             if seen.get(name, d) < d:
                 continue  # a whole copy of an earlier text
-            if len(seen) > 100_000:
+            if len(seen) > 30_000:
                 seen.clear()
             seen[name] = d
             for at in range(0, max(1, len(raw) - length + 1), PART):
@@ -182,6 +182,7 @@ def _named(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """(slot, name, whole, doc_id, span): segments to be shuffled by slot. Those that repeat within what a task holds at
     once are settled there (slot of the document, whole = -1), so a passage in many documents is combined before the shuffle."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, ends, ids, base in _laid(batches, length):
             first, windows, name, whole, twice = segments(data, ends, length, gram)
@@ -208,6 +209,7 @@ def _told(rows: DataFrame, length: int) -> DataFrame:
     """(doc_id, name, first, stop): name null for intervals to remove, else a segment whose windows must be compared.
     Rows come sorted by (name, whole, doc_id, span); one row is carried from batch to batch."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None  # the last first-of-its-kind row, if nothing that came so far shares its name
         last = None
@@ -247,6 +249,7 @@ def _intervals(doc: np.ndarray, span: np.ndarray, name: np.ndarray | None, lengt
 def _bytes_of(docs: DataFrame) -> DataFrame:
     """(name, doc_id, first, hot, bytes) of (doc_id, text, at: names, firsts, stops and whether the name is hot)."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
@@ -400,6 +403,7 @@ def _merged(doc: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
 
 
 def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["name"], 16384):
             name, doc, first = (t.column(c).to_numpy() for c in ("name", "doc_id", "first"))
@@ -415,6 +419,7 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def _hot(rows: DataFrame, length: int) -> DataFrame:
     """The same result for names with very many segments: windows are named by 128 bits and aggregated."""
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
@@ -431,7 +436,7 @@ def _hot(rows: DataFrame, length: int) -> DataFrame:
 
     each = rows.mapInArrow(run, "doc_id long, at long, w0 long, w1 long")
     least = each.groupBy("w0", "w1").agg(F.min("doc_id").alias("d"), F.min_by("at", F.struct("doc_id", "at")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    again = each.join(least, ["w0", "w1"]).where("doc_id > d or (doc_id = d and at > a)")
+    again = dealt_join(each, least, ["w0", "w1"], "doc_id").where("doc_id > d or (doc_id = d and at > a)")
     return again.select("doc_id", F.col("at").alias("first"), (F.col("at") + length).alias("stop"))
 
 
@@ -442,22 +447,26 @@ def _fetched(docs: DataFrame, ask: DataFrame) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, at): per document that loses something, the intervals (first, stop) to remove; they may overlap. docs: (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     usable = docs.where("doc_id is not null and text is not null")
     named = usable.select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64("text", F.lit(3)).alias("h1"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
     least = named.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
-    copies = named.join(least, ["h0", "h1"]).where("doc_id > rep").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("stop"))
+    copies = dealt_join(named, least, ["h0", "h1"], "doc_id").where("doc_id > rep").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("stop"))
 
     rows = _named(usable, length, gram).repartition("slot").sortWithinPartitions("name", "whole", "doc_id", "span")
     told = scratch.keep(_told(rows, length))
     ask = told.where("name is not null")
     many = ask.groupBy("name").count().where(F.col("count") > hot).select("name", F.lit(True).alias("hot"))
-    ask = ask.join(many, "name", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    ask = dealt_join(ask, many, ["name"], "doc_id", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     per_doc = ask.groupBy("doc_id").agg(F.collect_list(F.struct("name", "first", "stop", "hot")).alias("at"))
-    ends = scratch.keep(_bytes_of(_fetched(usable, scratch.keep(per_doc))))
+    per_doc = scratch.keep(per_doc)
+    ends = scratch.keep(_bytes_of(_fetched(usable, per_doc)))
     hot_rows, cool_rows = ends.where("hot"), ends.where("not hot")
     found = copies.unionAll(told.where("name is null").select("doc_id", "first", "stop")).unionAll(_compared(cool_rows, length, gram)).unionAll(_hot(hot_rows, length))
-    return scratch.keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("at")))
+    found = scratch.keep(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "stop")).alias("at")))
+    scratch.drop(told, per_doc, ends)
+    return found
 
 
 def runs(at: list[dict]) -> list[tuple[int, int]]:
@@ -491,6 +500,7 @@ def digests(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text:
     found = repeats(docs, length, hot=hot)
     clean, other = _joined(docs, found)
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -516,6 +526,7 @@ def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     other = other.select(*docs.columns, "__at")
     at = docs.columns.index("text")
 
+    @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):

@@ -106,21 +106,24 @@ def test_url_parts_and_rules(spark):
     assert urls.judged(pages, listed).count() == 2 * len(rows)
     assert got[0] == got[1] == got[2] == got[3] == ("", "", None, "allow")
     assert got[4] == ("www.example.com", "/en/7a", "example.com/en/7", "allow")
-    assert got[5][2:] == ("com/en/", "block") and got[6] == ("example.net", "/de/81", "example.net/de/8", "allow")
-    assert got[7] == ("net", "/de/", "net/de/", "block") and got[8] == ("b.net", "", None, "allow") and got[9][2] is None and got[10][2] == "org/es/"
+    assert got[5][2:] == ("com/en/", "block") and got[6] == ("example.net", "/de/81", "example.net/de/8", "block")
+    assert got[7] == ("net", "/de/", "net/de/", "allow") and got[8] == ("b.net", "", None, "allow") and got[9][2] is None and got[10][2] == "org/es/"
     assert [got[i][3] for i in (11, 12, 13)] == ["block"] * 3
+    assert urls.RULES == [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
     assert {r.verdict for r in urls.judged(pages, listed.where("false")).where("rule is null").collect()} == {"allow"}
 
 
-def test_op2_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_sql(spark, name):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("pages", "labels", "documents", "embeddings"):
         c.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
-    cols = ["page_id", "host", "path", "rule", "verdict"]
-    want = sorted(map(str, c.sql(queries.OP2_SQL).df()[cols].astype(object).where(lambda d: d.notna(), None).values.tolist()))
-    assert sorted(str([r[k] for k in cols]) for r in queries.op2_url_filter(spark, DIR).collect()) == want
+    rel = c.sql(queries.ORACLES[name])
+    got = queries.QUERIES[name](spark, DIR)
+    assert sorted(got.columns) == sorted(rel.columns)
+    assert sorted(str([r[k] for k in rel.columns]) for r in got.collect()) == sorted(str(list(r)) for r in rel.fetchall())
 
 
 def test_bloom_has_no_false_negatives_and_few_false_positives(spark):
