@@ -32,21 +32,28 @@ SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 1000
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
 
 
+def _with(value: Column, use) -> Column:
+    """What use makes of a value that is computed once, however often a lambda mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _found(text: Column, pattern: str, kind: int, value: int | None = None, least: int = 0) -> Column:
     """Spans of a pattern's leftmost non-overlapping matches; with value, only those whose group is long enough."""
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    long_enough = (lambda i: F.char_length(F.get(values, i)) >= least) if value is not None else (lambda i: F.lit(True))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(value)) if value is not None else hits
+    every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    found = F.struct(F.split(text, pattern, -1).alias("gaps"), every(0).alias("hits"), *([every(value).alias("values")] if value is not None else []))
     state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_SPAN).alias("out"))
 
-    def step(acc, hit):
-        start = acc["at"] + F.char_length(F.get(gaps, acc["i"]))
-        stop = start + F.char_length(hit)
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.when(long_enough(acc["i"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+    def spans(f):
+        def step(acc, hit):
+            start = acc["at"] + F.char_length(F.get(f["gaps"], acc["i"]))
+            stop = start + F.char_length(hit)
+            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
+            long_enough = F.char_length(F.get(f["values"], acc["i"])) >= least if value is not None else F.lit(True)
+            return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.when(long_enough, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(f["hits"], state, step)["out"]
 
-    return F.when(text.rlike(pattern), F.aggregate(hits, state, step)["out"]).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(pattern), _with(found, spans)).otherwise(F.array().cast(_SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -106,7 +113,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", min_ratio: flo
     """docs with __base and __spans: arrays of (start, kind as index of KINDS, stop) in order of start, then kind."""
     t = F.coalesce(F.col(text), F.lit(""))
     free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    is_random = lambda s: ratio_of(F.substring(t, s["start"] + 1, s["stop"] - s["start"]), model) >= min_ratio
+    is_random = lambda s: _with(F.substring(t, s["start"] + 1, s["stop"] - s["start"]), lambda token: ratio_of(token, model)) >= min_ratio
     found = docs.withColumn("__base", F.array_sort(base_spans(t)))
     found = found.withColumn("__more", F.filter(_found(t, TOKEN, 3), lambda s: F.when(free(s), is_random(s)).otherwise(False)))
     return found.withColumn("__spans", F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", "__more"))).otherwise(F.col("__base"))).drop("__more")
@@ -130,4 +137,4 @@ def redact(found: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFr
 
     done = F.aggregate("__spans", state, step)
     rest = lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.char_length(t)))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, F.transform(F.array(done), rest)[0]).otherwise(F.col(text)))
+    return found.withColumn(text, F.when(F.size("__spans") > 0, _with(done, rest)).otherwise(F.col(text)))
