@@ -30,13 +30,16 @@ def shared_dir(spark: SparkSession) -> str:
 #: Rows of an Arrow batch where the session has Spark's default (10 000): rows hold whole texts, and a batch is held by both
 #: the executor and its Python worker.
 BATCH_ROWS = 2000
+#: Bytes of an Arrow batch in the same case, so that very long texts do not meet in one batch (a single text may be larger).
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size, unless it was set to something else than Spark's default."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lowers the session's Arrow batch size, unless its rows were set to something else than Spark's default."""
+    rows, size = (f"spark.sql.execution.arrow.max{what}PerBatch" for what in ("Records", "Bytes"))
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 class Scratch:
