@@ -159,12 +159,12 @@ def concat(*parts) -> Term:
 
 def _bits(a, b, op) -> Term:
     a, b = as_bytes(a), as_bytes(b)
-    byte = lambda x, i: F.conv(F.hex(F.substring(x, i, F.lit(1))), 16, 10).cast("int")
+    part = lambda x, i: F.conv(F.hex(F.substring(x, i, F.lit(7))), 16, 10).cast("long")  # noqa: E731  # seven bytes fit a long
 
     def each(x, y):
         n = F.octet_length(x)
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.lpad(F.hex(op(byte(x, i), byte(y, i))), 2, "0"))
-        return F.when(n == 0, F.lit(bytearray(b""))).otherwise(F.unhex(F.array_join(pairs, "")))
+        parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(7)), lambda i: F.lpad(F.hex(op(part(x, i), part(y, i))), 2 * F.least(F.lit(7), n - i + 1), F.lit("0")))
+        return F.when(n == 0, F.lit(bytearray(b""))).otherwise(F.unhex(F.array_join(parts, "")))
 
     uneven = failed(F.octet_length(a.value) != F.octet_length(b.value), "E_LEN_MISMATCH")
     return made(BIN, let(each, a.value, b.value), a, b, errors=(uneven,))

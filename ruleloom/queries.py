@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary, logic, numbers, regex, text
-from .functions.terms import captured, num_col, number, strict, term, text_col
+from .functions.terms import BIN, Term, captured, num_col, number, strict, term, text_col
 from .functions.terms import as_text as _text
 from .operators import lifted, lists
 from .plans.ruleset import RuleSet
@@ -343,6 +343,43 @@ def bitwise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", *(strict(binary.to_hex(v)).alias(n) for n, v in cols.items()))
 
 
+# the same functions over whole texts; the queries above keep the prefixes that their SQL and tests fix
+
+
+@query("SELECT doc_id, reverse(text) AS back FROM documents WHERE text IS NOT NULL")
+def text_functions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", strict(text.backwards(text_col("text"))).alias("back"))
+
+
+@query("SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n, lower(hex(encode(text))) AS hexed, base64(encode(text)) AS b64 FROM documents WHERE text IS NOT NULL")
+def encodings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = text_col("text")
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", strict(binary.blen(x)).cast("long").alias("n"), strict(binary.to_hex(x)).alias("hexed"), strict(binary.encode_base64(x)).alias("b64"))
+
+
+@query("SELECT doc_id, text AS round_hex, text AS round_b64, text AS round_list, text AS round_xor FROM documents WHERE text <> ''")
+def round_trips_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty texts are left out: a list without elements has no bytes."""
+    x = text_col("text")
+    back = binary.to_utf8(text.backwards(x))
+    made = {"round_hex": binary.from_hex(binary.to_hex(x)), "round_b64": binary.decode_base64(binary.encode_base64(x)), "round_list": binary.ltb(binary.btl(x)), "round_xor": logic.bxor(logic.bxor(x, back), back)}
+    docs = read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", *(strict(t).alias(n) for n, t in made.items()))
+    return docs.select("doc_id", *(strict(binary.from_utf8(Term(BIN, F.col(n), None, frozenset({n})))).alias(n) for n in made))
+
+
+@query(None)
+def checksums_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = text_col("text")
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", strict(binary.crc32(x)).alias("crc"), strict(binary.to_hex(logic.band(x, x))).alias("same"))
+
+
+@query("SELECT doc_id, repeat('00', CAST(octet_length(encode(text)) AS INTEGER)) AS x, lower(hex(encode(text))) AS a, lower(hex(encode(text))) AS o FROM documents WHERE text IS NOT NULL")
+def bitwise_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = text_col("text")
+    cols = {"x": logic.bxor(t, t), "a": logic.band(t, t), "o": logic.bor(t, t)}
+    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", *(strict(binary.to_hex(v)).alias(n) for n, v in cols.items()))
+
+
 @query("""WITH m AS (SELECT date_trunc('day', ts) AS start, 'type' AS rule, 'not a click' AS message FROM events WHERE event_type <> 'click'
   UNION ALL SELECT date_trunc('day', ts), 'value', 'low' FROM events WHERE CAST(value AS DECIMAL(18,4)) < 10)
 SELECT strftime(start, '%Y-%m-%d') AS day, rule, message, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1, 2, 3""")

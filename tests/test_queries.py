@@ -63,3 +63,25 @@ def test_lifted_errors_equal_nested_errors(spark):
     b = nested.select("k", *(captured(x).alias(n) for n, x in u.items())).orderBy("k").collect()
     for x, y in zip(a, b, strict=True):
         assert x.asDict(True) == y.asDict(True)
+
+
+def test_whole_texts(spark, tmp_path):
+    """Brute force over texts that differ, and hold bytes of every length, far behind the prefixes of the older queries."""
+    import base64
+    import zlib
+
+    words = "Zażółć gęślą 👍 jaźń\n"
+    text = {1: words * 200, 2: words * 200 + "x", 3: "a" * 300 + "é", 4: "b", 5: "", 6: None, **{10 + n: "\x00ß"[:1] + "é" * n + "z" * n for n in range(1, 16)}}
+    spark.createDataFrame(list(text.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: {r.doc_id: r for r in q.QUERIES[f"{n}_whole"](spark, str(tmp_path)).collect()} for n in ("text_functions", "encodings", "round_trips", "checksums", "bitwise")}
+    for n, found in got.items():
+        assert set(found) == {k for k, t in text.items() if t is not None and (t or n != "round_trips")}
+    for k, t in text.items():
+        if t is None:
+            continue
+        b = t.encode()
+        assert got["text_functions"][k].back == t[::-1]
+        assert got["encodings"][k][1:] == (len(b), b.hex(), base64.b64encode(b).decode())
+        assert got["checksums"][k][1:] == (f"{zlib.crc32(b):08x}", b.hex())
+        assert got["bitwise"][k][1:] == ("00" * len(b), b.hex(), b.hex())
+        assert not t or got["round_trips"][k][1:] == (t,) * 4
