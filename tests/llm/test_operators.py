@@ -501,6 +501,19 @@ def test_vectors_on_odd_rows(spark, block, monkeypatch):
     assert embed.near_duplicates(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 256])
+def test_pairs_meet_in_any_dimension(dim):
+    r = np.random.default_rng(5)
+    u, w = r.normal(size=(2, 2000, dim))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    w -= (u * w).sum(1, keepdims=True) * u
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    label = np.zeros(2000, np.int64)
+    a, b = embed.cells(u, label), embed.cells(0.98 * u + np.sqrt(1 - 0.98**2) * w, label)
+    meets = (a == b[:, :, :1]).any((1, 2)) | (b == a[:, :, :1]).any((1, 2))
+    assert meets.mean() > 0.99
+
+
 def test_lattice_decoding_is_nearest():
     y = np.random.default_rng(1).normal(size=(300, 8)) * 2
     p = embed.decoded(y)
