@@ -3,8 +3,8 @@
 Whole windows are cut off long documents. What is left of each document is pooled in the task that encoded it (no
 shuffle), and each pool is dealt to windows by Karmarkar-Karp multiway differencing: the two partial partitions with the
 largest spread are merged with opposing imbalances until one is left. The number of windows is the least that can hold
-the pool; where a window exceeds the capacity, its excess is cut off and moved to windows with room, and the window
-count rises whenever that is not allowed or not enough.
+the pool; where a window exceeds the capacity, its excess is cut off and moved to windows with room. The count does not
+rise for that, as a further window would be mostly padding; only windows(cut=False), which packed() does not use, raises it.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are each packed; a null id is kept as
 null; an empty table gives no pieces; other columns are ignored.
