@@ -3,19 +3,21 @@
 Every byte covered by a string of ``length`` bytes that also starts earlier (in a smaller document, or earlier in the same
 one) is removed. Strings are judged on the input.
 
-1. Whole copies of an earlier text are found by a grouped hash.
+1. Whole copies of an earlier text are found by a grouped SHA-256.
 2. Each window of ``length`` bytes is named by the smallest hash of the grams of GRAM bytes in it, so equal windows have
-   the same name wherever they stand. Windows with one name in a row form a segment. Prefix polynomial hashes give the
-   hashes of grams and of whole segments from one running sum.
-3. Segments are shuffled by name. A segment whose bytes occurred earlier is repeated as a whole; only where one name has
-   different segments (the ends of repeats) the bytes are fetched.
+   the same name wherever they stand. Windows with one name in a row form a segment. Names only bring segments together;
+   a collision of names removes nothing.
+3. Segments are shuffled by name with a BLAKE2 digest of 128 bits of their bytes. A segment whose digest occurred earlier
+   is repeated as a whole; only where one name has different segments (the ends of repeats) the bytes are fetched.
 4. There, segments are lined up at the naming gram, and their right and left extensions are suffix-sorted: a mergesort
-   whose comparisons find the common extension by binary search over prefix hashes, logarithmic in its length. Common
-   extensions of neighbours in sorted order are verified byte by byte. For every offset, windows whose left and right
-   parts fall in the same classes are equal; the earliest stays.
+   whose comparisons find the common extension by binary search over prefix hashes (two bases modulo a prime), logarithmic
+   in its length. The order and the common extensions of neighbours are then verified byte by byte; where hashes
+   collided, the sort is done again with other bases. For every offset, windows whose left and right parts fall in the
+   same classes are equal; the earliest stays.
+5. A name with more than HOT different segments is split by a further key, the digest of each window's bytes, and the
+   earliest window of a key is found with map-side combine, so no task holds all segments of a common passage's end.
 
-A name with more segments than HOT is not sorted in one task: its windows are hashed one by one and aggregated with
-map-side combine.
+No removal rests on a polynomial hash alone: it is decided by compared bytes or by a cryptographic digest of them.
 
 Defined results: null text is empty; empty and short texts lose nothing; rows with a null id have no place in the order and
 lose nothing; rows that repeat an id are the same document (each is judged, none counts as earlier than the other); an
@@ -25,6 +27,7 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +38,14 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import Scratch, bounded_batches, dealt_join, freeing, mix, whole_groups
 
-LENGTH, GRAM, HOT = 100, 32, 20_000
+LENGTH, GRAM, HOT = 100, 32, 2048
 #: Bytes handled at once by a worker; longer documents are taken in overlapping parts.
 PART = 1 << 17
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _FROM, _COUNT = 21, (1 << 20) - 1  # bits of a packed (start, windows, flag)
+_PRIME = np.uint64((1 << 31) - 1)
+#: Repeated segments that a task remembers, so that a passage in many of its documents is sent once.
+_REMEMBERED = 50_000
 
 
 _known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -60,7 +66,7 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hashes(data: np.ndarray) -> np.ndarray:
-    """Running sums: the hash of [s, e) is (p[e] - p[s]) * inverse ** s."""
+    """Running sums modulo 2**64, for names of grams: the hash of [s, e) is (p[e] - p[s]) * inverse ** s."""
     p = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _tables(len(data) + 1)[0][: len(data)], out=p[1:])
     return p
@@ -70,6 +76,12 @@ def hashes(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((p[end] - p[start]) * _tables(len(p))[1][start])
 
 
+def digested(data: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """BLAKE2 digests of byte ranges, as two integers each."""
+    view = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join([hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), stop.tolist(), strict=True)]), np.int64).reshape(-1, 2)
+
+
 def _sliding(x: np.ndarray, w: int, most: bool = False) -> np.ndarray:
     """Minimum (or maximum) of x[i : i + w] for every i with a full window."""
     f = np.maximum if most else np.minimum
@@ -84,8 +96,8 @@ def _sliding(x: np.ndarray, w: int, most: bool = False) -> np.ndarray:
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts laid end to end: start, windows, name, hash of all bytes, whether the naming gram repeats."""
-    none = tuple(np.empty(0, np.int64) for _ in range(5))
+    """Segments of texts laid end to end: start, windows, name, whether the naming gram repeats."""
+    none = tuple(np.empty(0, np.int64) for _ in range(4))
     n, w = len(data), length - gram + 1
     if n < length:
         return none
@@ -112,7 +124,6 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tupl
         first, last = (np.concatenate([[*range(a, b + 1, _COUNT)] if r else [*range(min(b, a + _COUNT - 1), b, _COUNT), b] for a, b in zip(first[long], last[long], strict=True)] + [q[~long]]) for r, q in ((True, first), (False, last)))
         first, last = np.sort(first), np.sort(last)
     name = low[first]
-    whole = hashes(p, first, last + length) + (last - first).astype(np.uint64)
     # grams that name some window, to see which segments hold their naming gram twice
     fence = np.full(len(g) + w - 1, np.uint64(0))
     fence[w - 1 : w - 1 + len(low)] = np.where(inside, low, 0)
@@ -121,7 +132,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tupl
     order = np.sort(rank * np.int64(len(g) + w + 1) + names_one)
     key = np.searchsorted(kinds, name) * np.int64(len(g) + w + 1)
     twice = np.searchsorted(order, key + last + w) - np.searchsorted(order, key + first) > 1
-    return first, last - first + 1, name.view(np.int64), whole.view(np.int64), twice
+    return first, last - first + 1, name.view(np.int64), twice
 
 
 def _laid(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -162,7 +173,7 @@ def _laid(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.n
         yield out()
 
 
-_ROW = ["slot", "name", "whole", "doc_id", "span"]
+_ROW = ["slot", "name", "w0", "w1", "doc_id", "span"]
 _DONE = "doc_id long, first long, stop long"
 
 
@@ -178,54 +189,74 @@ def _windows(span: np.ndarray) -> np.ndarray:
     return (span >> 1) & _COUNT
 
 
+def _remembered(seen: dict, w: np.ndarray, doc: np.ndarray, span: np.ndarray, again: np.ndarray) -> None:
+    """Marks first segments of this part that the task met earlier in the order; remembers those that repeat in this part."""
+    heads = np.flatnonzero(~again)
+    repeated = np.append(again[1:], False)[heads]
+    keys = w[heads].tobytes()
+    for k, i in enumerate(heads.tolist()):
+        key = keys[16 * k : 16 * k + 16]
+        before, own = seen.get(key), (int(doc[i]), int(span[i]))
+        if before is not None and before < own:
+            again[i] = True
+        elif before is not None or repeated[k]:
+            seen[key] = own
+    if len(seen) > _REMEMBERED:
+        seen.clear()
+
+
 def _named(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(slot, name, whole, doc_id, span): segments to be shuffled by slot. Those that repeat within what a task holds at
-    once are settled there (slot of the document, whole = -1), so a passage in many documents is combined before the shuffle."""
+    """(slot, name, w0, w1, doc_id, span): segments with their digests, to be shuffled by slot. Those that repeat within what a
+    task holds at once, or that it remembers, are settled there (slot of the document, span inverted), so a passage in many
+    documents is combined before the shuffle."""
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple[int, int]] = {}
         for data, ends, ids, base in _laid(batches, length):
-            first, windows, name, whole, twice = segments(data, ends, length, gram)
+            first, windows, name, twice = segments(data, ends, length, gram)
             if not len(first):
                 continue
             part = np.searchsorted(ends, first, side="right")
             doc = ids[part]
             span = _packed(first - np.concatenate([[0], ends[:-1]])[part] + base[part], windows, twice.astype(np.int64))
-            whole = np.where(whole == -1, 0, whole)
-            order = np.lexsort((span, doc, whole, name))
-            name, whole, doc, span = name[order], whole[order], doc[order], span[order]
+            w = digested(data, first, first + windows - 1 + length)
+            order = np.lexsort((span, doc, w[:, 1], w[:, 0]))
+            name, w, doc, span = name[order], w[order], doc[order], span[order]
             again, twin = np.zeros(len(name), bool), np.zeros(len(name), bool)
-            again[1:] = (name[1:] == name[:-1]) & (whole[1:] == whole[:-1])
+            again[1:] = (w[1:] == w[:-1]).all(1)
             twin[1:] = again[1:] & (doc[1:] == doc[:-1]) & (span[1:] == span[:-1])  # a row that repeats an id
-            name, whole, doc, span, again = (x[~twin] for x in (name, whole, doc, span, again))
+            name, w, doc, span, again = (x[~twin] for x in (name, w, doc, span, again))
+            _remembered(seen, w, doc, span, again)
+            w = np.where(again[:, None], 0, w)
             slot = np.where(again, mix(doc.view(np.uint64)).view(np.int64), name)
-            whole = np.where(again, -1, whole)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (slot, name, whole, doc, span)], names=_ROW)
+            name, span = np.where(again, 0, name), np.where(again, ~span, span)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (slot, name, w[:, 0].copy(), w[:, 1].copy(), doc, span)], names=_ROW)
 
-    return docs.mapInArrow(run, "slot long, name long, whole long, doc_id long, span long")
+    return docs.mapInArrow(run, "slot long, name long, w0 long, w1 long, doc_id long, span long")
 
 
 def _told(rows: DataFrame, length: int) -> DataFrame:
     """(doc_id, name, first, stop): name null for intervals to remove, else a segment whose windows must be compared.
-    Rows come sorted by (name, whole, doc_id, span); one row is carried from batch to batch."""
+    Rows come sorted by (name, w0, w1, doc_id, span); one row is carried from batch to batch."""
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None  # the last first-of-its-kind row, if nothing that came so far shares its name
         last = None
         for batch in batches:
-            name, whole, doc, span = (batch.column(i).to_numpy() for i in range(1, 5))
-            settled = whole == -1
-            done = [(doc[settled], span[settled])]
-            name, whole, doc, span = name[~settled], whole[~settled], doc[~settled], span[~settled]
-            if len(name):
-                rows = np.stack([name, whole, doc, span])
+            rows = np.stack([batch.column(i).to_numpy() for i in range(1, 6)])
+            settled = rows[4] < 0
+            done = [(rows[3, settled], ~rows[4, settled])]
+            rows = rows[:, ~settled]
+            if rows.shape[1]:
+                name, doc, span = rows[0], rows[3], rows[4]
                 before = np.concatenate([rows[:, :1] if last is None else last, rows[:, :-1]], 1)
                 equal = rows == before
                 if last is None:
                     equal[:, 0] = False
                 last = rows[:, -1:].copy()
-                same_name, same, twin = equal[0], equal[0] & equal[1], equal.all(0)
+                same_name, same, twin = equal[0], equal[:3].all(0), equal.all(0)
                 done.append((doc[same & ~twin], span[same & ~twin]))
                 k, d, s, cont = name[~same], doc[~same], span[~same], same_name[~same]
                 if len(k):
@@ -263,25 +294,58 @@ def _bytes_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "name long, doc_id long, first long, hot boolean, bytes binary")
 
 
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo _PRIME, for x below 2**63."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, _modulo(out * np.uint64(pow(base, len(out), int(_PRIME))))])
+    return out[:n]
+
+
+class Prefixes:
+    """Polynomial hashes of all ranges of a buffer, modulo a prime."""
+
+    def __init__(self, data: np.ndarray, base: int):
+        n = len(data)
+        each = (data.astype(np.uint64) + np.uint64(1)) * _powers(base, n + 1)[:n]
+        self.sums = np.zeros(n + 1, np.uint64)
+        for at in range(0, n, 1 << 22):
+            self.sums[at + 1 : at + 1 + (1 << 22)] = _modulo(np.cumsum(each[at : at + (1 << 22)]) + self.sums[at])
+        self.inverse = _powers(pow(base, -1, int(_PRIME)), n + 1)
+
+    def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the n bytes from a and from b have one hash."""
+        x, y = (_modulo((self.sums[at + n] + (_PRIME - self.sums[at])) * self.inverse[at]) for at in (a, b))
+        return x == y
+
+
+class Collided(Exception):
+    """The bytes do not confirm what hashes said."""
+
+
 class Sorted:
     """Suffixes of one buffer in order: mergesort, with comparisons by prefix hashes. Suffix i is data[at[i] : at[i] + size[i]]."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray):
+    def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray, seed: int = 0):
         self.data, self.at, self.size, self.group = data, at, size, group
-        self.p = prefix_hashes(data)
-        self.inverse = _tables(len(self.p))[1]
+        bases = np.random.default_rng([20240307, seed]).integers(1 << 20, (1 << 31) - 2, 2)
+        self.prefixes = [Prefixes(data, int(b)) for b in bases]
         self.order = np.argsort(group, kind="stable")
         self._sort()
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes x and y, by binary search."""
         a, b = self.at[x], self.at[y]
-        ia, ib = self.inverse[a], self.inverse[b]
-        pa_, pb = self.p[a], self.p[b]
         low, high = np.zeros(len(x), np.int64), np.minimum(self.size[x], self.size[y])
         for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high + 1) >> 1
-            ok = (self.p[a + mid] - pa_) * ia == (self.p[b + mid] - pb) * ib
+            ok = self.prefixes[0].equal(a, b, mid) & self.prefixes[1].equal(a, b, mid)
             low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
         return low
 
@@ -327,7 +391,7 @@ class Sorted:
         self.order[every[~taken[every]]] = y
 
     def neighbours(self) -> np.ndarray:
-        """Common extension with the suffix before in order (0 across groups), verified byte by byte."""
+        """Common extension with the suffix before in order (0 across groups). The bytes must confirm it and the order."""
         n = np.zeros(len(self.order), np.int64)
         x, y = self.order[:-1], self.order[1:]
         i = np.flatnonzero(self.group[x] == self.group[y])
@@ -339,11 +403,25 @@ class Sorted:
             inside = step < mine[:, None]
             left = self.data[np.where(inside, self.at[x[j]][:, None] + step, 0)]
             right = self.data[np.where(inside, self.at[y[j]][:, None] + step, 0)]
-            if (left != right).any():
-                raise ValueError("prefix hashes collided")
+            ends = mine >= self.size[x[j]]
+            last = len(self.data) - 1
+            rises = (mine < self.size[y[j]]) & (self.data[np.minimum(self.at[x[j]] + mine, last)] < self.data[np.minimum(self.at[y[j]] + mine, last)])
+            if (left != right).any() or not (ends | rises).all():
+                raise Collided
         return n
 
 
+def _in_order(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[Sorted, np.ndarray]:
+    """Sorted suffixes and their verified common extensions; other bases are taken until the bytes confirm them."""
+    for seed in itertools.count():
+        s = Sorted(data, at, size, group, seed)
+        try:
+            return s, s.neighbours()
+        except Collided:
+            continue
+    raise AssertionError
+
+
 def repeated_windows(name: np.ndarray, doc: np.ndarray, first: np.ndarray, data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc_id, start) of windows that occur earlier under the same name. Segments are laid end to end in data."""
     starts = np.concatenate([[0], ends[:-1]])
@@ -364,9 +442,8 @@ def repeated_windows(name: np.ndarray, doc: np.ndarray, first: np.ndarray, data:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     group = np.unique(name[seg], return_inverse=True)[1]
     n = len(anchor)
-    right = Sorted(data, anchor, np.minimum(length, ends[seg] - anchor), group)
-    left = Sorted(data[::-1], len(data) - anchor, anchor - from_, group)
-    right_common, left_common = right.neighbours(), left.neighbours()
+    right, right_common = _in_order(data, anchor, np.minimum(length, ends[seg] - anchor), group)
+    left, left_common = _in_order(data[::-1], len(data) - anchor, anchor - from_, group)
     where = first[seg] + anchor - starts[seg]  # place of the anchor in its document
     earlier = np.empty(n, np.int64)
     earlier[np.lexsort((where, doc[seg]))] = np.arange(n)
@@ -417,7 +494,7 @@ def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _hot(rows: DataFrame, length: int) -> DataFrame:
-    """The same result for names with very many segments: windows are named by 128 bits and aggregated."""
+    """The same result for names with very many segments, split by a further key: the digest of each window's bytes."""
 
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,8 +508,8 @@ def _hot(rows: DataFrame, length: int) -> DataFrame:
                 windows = n - length + 1
                 at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                 s = np.repeat(np.cumsum(n) - n, windows) + at
-                h = [hashes(prefix_hashes(x), s, s + length) for x in (data, mix(data.astype(np.uint64) + np.uint64(77)))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, windows)), pa.array(np.repeat(first, windows) + at), *(pa.array(x.view(np.int64)) for x in h)], names=["doc_id", "at", "w0", "w1"])
+                w = digested(data, s, s + length)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(doc, windows)), pa.array(np.repeat(first, windows) + at), pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy())], names=["doc_id", "at", "w0", "w1"])
 
     each = rows.mapInArrow(run, "doc_id long, at long, w0 long, w1 long")
     least = each.groupBy("w0", "w1").agg(F.min("doc_id").alias("d"), F.min_by("at", F.struct("doc_id", "at")).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -450,11 +527,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int =
     bounded_batches(docs.sparkSession)
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     usable = docs.where("doc_id is not null and text is not null")
-    named = usable.select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64("text", F.lit(3)).alias("h1"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
-    least = named.groupBy("h0", "h1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
-    copies = dealt_join(named, least, ["h0", "h1"], "doc_id").where("doc_id > rep").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("stop"))
+    named = usable.select("doc_id", F.unhex(F.sha2("text", 256)).alias("h"), F.octet_length("text").cast("long").alias("n")).where(F.col("n") >= length)
+    least = named.groupBy("h").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last")
+    copies = dealt_join(named, least, ["h"], "doc_id").where("doc_id > rep").select("doc_id", F.lit(0).cast("long").alias("first"), F.col("n").alias("stop"))
 
-    rows = _named(usable, length, gram).repartition("slot").sortWithinPartitions("name", "whole", "doc_id", "span")
+    rows = _named(usable, length, gram).repartition("slot").sortWithinPartitions("name", "w0", "w1", "doc_id", "span")
     told = scratch.keep(_told(rows, length))
     ask = told.where("name is not null")
     many = ask.groupBy("name").count().where(F.col("count") > hot).select("name", F.lit(True).alias("hot"))
