@@ -2,9 +2,14 @@
 
 Whole windows are cut off long documents. What is left of each document is pooled in the task that encoded it (no
 shuffle), and each pool is dealt to windows by Karmarkar-Karp multiway differencing: the two partial partitions with the
-largest spread are merged with opposing imbalances until one is left. The number of windows is the least that can hold
-the pool; where a window exceeds the capacity, its excess is cut off and moved to windows with room. The count does not
-rise for that, as a further window would be mostly padding; only windows(cut=False), which packed() does not use, raises it.
+largest spread are merged with opposing imbalances until one is left. The number of windows starts at the least that can
+hold the pool and rises by one whenever a window exceeds the capacity. So that it seldom rises, which is padding, a small
+share of the pool (the longest tails) is cut into small pieces of falling size, which even out the windows; all other tails
+stay whole. Where the count would rise by more than a hundredth, as with many tails of one awkward size, that share is
+doubled first.
+
+Padding: a pool that needs k windows at the least is padded by less than one window, and by one more for each time k rises
+(seldom: see the tests). A task packs its pools alone, so each input partition also ends in a padded window.
 
 Defined results: a null or empty text is the closing id alone; repeated rows are each packed; a null id is kept as
 null; an empty table gives no pieces; other columns are ignored.
@@ -13,6 +18,7 @@ null; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -22,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, slices, texts_of
-from .tokens import encoding, vocabulary_file
+from .tokens import encoding, ids_of, vocabulary_file
 
 CAPACITY, CLOSING, POOL = 2048, 1, 1024
+#: Share of a pool's tokens that is cut into small pieces, and the sizes of these pieces in turn.
+SAND, GRAINS = 0.06, (128, 64, 32, 16, 8, 4, 2, 1, 1)
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -66,44 +74,53 @@ def differencing(sizes: list[int], k: int) -> list[int]:
     return window
 
 
+def _sanded(sizes: list[int], share: float) -> list[tuple[int, int, int]]:
+    """(item, start, length) of all items; the longest ones, up to a share of the sum, are cut into grains."""
+    left, out = share * sum(sizes), []
+    for item in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+        size, at = sizes[item], 0
+        fine = left > 0 and size >= GRAINS[0]
+        grains = itertools.cycle(GRAINS) if fine else itertools.repeat(size)
+        left -= size * fine
+        while at < size:
+            n = min(next(grains), size - at)
+            out.append((item, at, n))
+            at += n
+    return out
+
+
+def _dealt(pieces: list[tuple[int, int, int]], k: int) -> list[list[tuple[int, int, int]]]:
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
+    for piece, w in zip(pieces, differencing([n for _, _, n in pieces], k), strict=True):
+        out[w].append(piece)
+    return out
+
+
 def windows(sizes: list[int], capacity: int = CAPACITY, cut: bool = True) -> list[list[tuple[int, int, int]]]:
     """Windows of (item, start in the item, length), none above the capacity. Without cut, items stay whole."""
-    if not cut and max(sizes, default=0) > capacity:
+    if max(sizes, default=0) > capacity:
         raise ValueError("an item is larger than a window")
-    k = max(1, -(-sum(sizes) // capacity))
-    while True:
-        dealt: list[list[tuple[int, int, int]]] = [[] for _ in range(k)]
-        for item, w in enumerate(differencing(sizes, k)):
-            dealt[w].append((item, 0, sizes[item]))
-        room = [capacity - sum(x[2] for x in own) for own in dealt]
-        if min(room) >= 0:
-            return [own for own in dealt if own]
-        if cut:
-            break
-        k += 1
-    spare: list[tuple[int, int, int]] = []
-    for w, own in enumerate(dealt):
-        while room[w] < 0:
-            item, start, length = own.pop()
-            stay = max(0, length + room[w])
-            if stay:
-                own.append((item, start, stay))
-            spare.append((item, start + stay, length - stay))
-            room[w] += length - stay
-    open_ = sorted((w for w in range(k) if room[w] > 0), key=lambda w: -room[w])
-    for item, start, length in sorted(spare, key=lambda x: -x[2]):
-        while length:
-            if not open_:
-                dealt.append([])
-                room.append(capacity)
-                open_.append(len(dealt) - 1)
-            w = open_[0]
-            put = min(length, room[w])
-            dealt[w].append((item, start, put))
-            start, length, room[w] = start + put, length - put, room[w] - put
-            if not room[w]:
-                open_.pop(0)
-    return [own for own in dealt if own]
+    fits = lambda got: max(sum(n for _, _, n in own) for own in got) <= capacity
+    least = k = max(1, -(-sum(sizes) // capacity))
+    pieces, share = [(i, 0, n) for i, n in enumerate(sizes)], 0.0
+    while not fits(got := _dealt(pieces, k)):
+        if cut and share < 1 and (share == 0 or k >= least + least // 100):
+            share = min(1.0, share * 2 or SAND)
+            pieces, k = _sanded(sizes, share), least
+        else:
+            k += 1
+    return [_joined(own) for own in got if own]
+
+
+def _joined(own: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Pieces of one window in order, those that follow each other in their item as one."""
+    out: list[tuple[int, int, int]] = []
+    for item, start, n in sorted(own):
+        if out and out[-1][0] == item and out[-1][1] + out[-1][2] == start:
+            out[-1] = (item, out[-1][1], out[-1][2] + n)
+        else:
+            out.append((item, start, n))
+    return out
 
 
 class Packer:
@@ -150,7 +167,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
         p = Packer(TaskContext.get().partitionId() << 40, capacity, pool)
         for batch in slices(batches, 1024):
             for doc_id, t in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
-                p.put(doc_id, np.array([*enc.encode_ordinary(t), closing], "<u4"))
+                p.put(doc_id, np.array([*ids_of(enc, t), closing], "<u4"))
             yield p.taken()
         p.flush()
         yield p.taken()
