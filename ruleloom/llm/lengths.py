@@ -3,7 +3,8 @@
 From the rows (one per distinct length) every total, quantile and truncated total for a context limit follows without
 another pass over the texts.
 
-Defined results: null text is empty and has length 0; repeated rows count each time; an empty table gives no rows.
+Defined results: null text is empty and has length 0; repeated rows count each time; an empty table gives no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,22 +17,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import bounded_batches, slices, texts_of
-from .tokens import encoding, vocabulary_file
+from .common import Scratch, bounded_batches, slices, texts_of
+from .tokens import encoding, ids_of, vocabulary_file
 
 
 def histogram(docs: DataFrame, text: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs). Each batch is summed in the worker, so the shuffle carries distinct lengths, not documents."""
+    """(n_tokens, n_docs), kept as a small table, so the sums over it read the texts once. Each batch is summed in the worker,
+    so the shuffle carries distinct lengths, not documents."""
     file = vocabulary or vocabulary_file()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(file)
         for batch in slices(batches, 2048):
-            n, k = np.unique(np.array([len(enc.encode_ordinary(t)) for t in texts_of(batch)], np.int64), return_counts=True)
+            n, k = np.unique(np.array([len(ids_of(enc, t)) for t in texts_of(batch)], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n), pa.array(k.astype(np.int64))], names=["n_tokens", "n_docs"])
 
     bounded_batches(docs.sparkSession)
-    return docs.selectExpr(f"`{text}` as text").mapInArrow(run, "n_tokens long, n_docs long").groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    each = docs.selectExpr(f"`{text}` as text").mapInArrow(run, "n_tokens long, n_docs long")
+    return Scratch(docs.sparkSession, "lengths").keep(each.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def suffix_sums(hist: DataFrame, width: int = 64) -> DataFrame:
