@@ -317,7 +317,44 @@ def test_op7(spark, documents):
     check_repeats(rows, documents)
 
 
-@pytest.mark.parametrize("hot,part", [(20_000, 1 << 18), (3, 3000)])
+def test_colliding_hashes_remove_nothing(spark):
+    """Two texts without a common string of 100 bytes whose blocks differ by Thue-Morse parity: polynomial hashes modulo
+    2**64 of such texts are equal whatever the base."""
+    gram = "".join(R.choice("abcdefghijklmnopqrstuvw") for _ in range(32))
+    one, other = "", ""
+    for k in range(128):
+        block, odd_bits = gram + "".join(R.choice("abcdefghijklmnopqrstuvw") for _ in range(31)), k.bit_count() & 1
+        one, other = one + block + "xy"[odd_bits], other + block + "yx"[odd_bits]
+    docs = {1: one, 2: other}
+    assert all(v[1] == 0 for v in repeats(docs, 100).values())
+    for hot in (suffix.HOT, 3):
+        got = suffix.digests(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), hot=hot).collect()
+        assert [r.n_removed for r in got] == [0, 0]
+        check_repeats(got, docs)
+
+
+def test_a_sort_with_colliding_hashes_is_done_again(monkeypatch):
+    data = np.frombuffer(bytes(R.choice(b"ab") for _ in range(600)), np.uint8)
+    at, size, group = np.arange(500), np.full(500, 60), np.zeros(500, np.int64)
+    want = suffix.Sorted(data, at, size, group)
+    true, tries = suffix.Prefixes.equal, []
+
+    def equal(self, a, b, n):
+        return np.ones(len(a), bool) if len(tries) < 2 else true(self, a, b, n)
+
+    made = suffix.Sorted.__init__
+
+    def init(self, *args):
+        tries.append(args[-1])
+        made(self, *args)
+
+    monkeypatch.setattr(suffix.Prefixes, "equal", equal)
+    monkeypatch.setattr(suffix.Sorted, "__init__", init)
+    got, common = suffix._in_order(data, at, size, group)
+    assert tries == [0, 1] and (got.order == want.order).all() and (common == want.neighbours()).all()
+
+
+@pytest.mark.parametrize("hot,part", [(suffix.HOT, 1 << 18), (3, 3000)])
 def test_repeats_on_odd_rows(spark, odd, empty, hot, part, monkeypatch):
     """Also with names that count as hot and documents that are taken in parts."""
     docs, df = odd
@@ -367,9 +404,7 @@ def test_suffix_order():
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(queries.public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def check_pieces(rows, ids, capacity=2048):
@@ -405,9 +440,21 @@ def test_op8(spark, documents, tokenizer):
 
 def test_ranks_give_the_ids_of_the_tokenizers_library(tokenizer):
     enc = tokens.encoding(tokens.vocabulary_file())
-    texts = [t or "" for _, t, *_ in odd_rows()] + ["<|endoftext|> x", "don't  stop\n\n1234  x"]
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["<|endoftext|> x", "a <|endoftext|>  <|endoftext|><|endoftext|>\n b", "<|endoftext|", " \n<|endoftext|>\n\n  x", "don't<|endoftext|>'t", "don't  stop\n\n1234   x"]
     for t in texts:
-        assert enc.encode_ordinary(t) == tokenizer.encode(t, add_special_tokens=False).ids
+        assert tokens.ids_of(enc, t) == tokenizer.encode(t, add_special_tokens=False).ids
+    assert tokens.ids_of(enc, "<|endoftext|> x") == [50256, 2124]
+
+
+def test_ids_of_very_long_texts(tokenizer):
+    """Runs of blanks of a million characters are beyond the ranks library's own expressions."""
+    enc = tokens.encoding(tokens.vocabulary_file())
+    blanks = lambda n: "x" + " " * n + "y <|endoftext|>" + "\n" * 1000 + "z" * 50_000
+    with pytest.raises(ValueError):
+        enc.encode(blanks(1_000_000), allowed_special="all")
+    short, long = (tokens.ids_of(enc, blanks(n)) for n in (1000, 1_000_000))
+    assert short == tokenizer.encode(blanks(1000), add_special_tokens=False).ids
+    assert long == [short[0], *tokens.ids_of(enc, " ") * 999_000, *short[1:]]
 
 
 def test_packing_on_odd_rows(spark, odd, empty, tokenizer):
@@ -419,13 +466,28 @@ def test_packing_on_odd_rows(spark, odd, empty, tokenizer):
     assert packing.packed(odd[1]).where("doc_id = 20").agg(F.sum("length")).first()[0] == 2 * (len(tokenizer.encode(docs[20], add_special_tokens=False).ids) + 1)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 40])
+def test_padding_of_many_partitions(spark, parts):
+    """Less than one window for each partition and pool, and little more where the count rises."""
+    docs = spark.createDataFrame([(i, prose(R.randrange(1, 900))) for i in range(1500)], "doc_id long, text string").repartition(parts)
+    sizes = [r.n for r in packing.packed(docs).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()]
+    pools = parts + 1500 // packing.POOL
+    assert max(sizes) <= 2048 and sum(2048 - n for n in sizes) < 2048 * (pools * 1.2 + 1)
+
+
 def test_differencing_balances():
     sizes = [R.randrange(1, 2048) for _ in range(300)]
     for k in (1, 2, 7, 40):
         dealt = packing.differencing(sizes, k)
         sums = np.bincount(dealt, sizes, minlength=k)
         assert len(dealt) == 300 and sums.max() - sums.min() <= max(sizes) / 4
+    least = -(-sum(sizes) // 2048)
+    assert len(packing.windows(sizes)) == least
     whole = packing.windows(sizes, cut=False)
+    assert len(whole) > least  # the count rises whenever a window exceeds the capacity
+    own = packing.windows([1500] * 301)
+    assert max(sum(x[2] for x in w) for w in own) <= 2048 and len(own) <= -(-301 * 1500 // 2048) + 3
+    assert sum(len(w) > 1 for w in own) and sorted(x[0] for w in own for x in w if x[2] == 1500)  # most items stay whole
     assert all(sum(x[2] for x in own) <= 2048 for own in whole) and sorted(x[0] for own in whole for x in own) == list(range(300))
     assert packing.windows([], 10) == [] and packing.windows([3], 10) == [[(0, 0, 3)]]
     with pytest.raises(ValueError):
