@@ -10,10 +10,10 @@ one) is removed. Strings are judged on the input.
 3. Segments are shuffled by name with a BLAKE2 digest of 128 bits of their bytes. A segment whose digest occurred earlier
    is repeated as a whole; only where one name has different segments (the ends of repeats) the bytes are fetched.
 4. There, segments are lined up at the naming gram, and their right and left extensions are suffix-sorted: a mergesort
-   whose comparisons find the common extension by binary search over prefix hashes (two bases modulo a prime), logarithmic
-   in its length. The order and the common extensions of neighbours are then verified byte by byte; where hashes
-   collided, the sort is done again with other bases. For every offset, windows whose left and right parts fall in the
-   same classes are equal; the earliest stays.
+   whose comparisons find the common extension by binary search over prefix hashes, logarithmic in its length. The order
+   and the common extensions of neighbours are then verified byte by byte; where hashes modulo 2**64 collided, the sort is
+   done again with two bases modulo a prime. For every offset, windows whose left and right parts fall in the same classes
+   are equal; the earliest stays.
 5. A name with more than HOT different segments is split by a further key, the digest of each window's bytes, and the
    earliest window of a key is found with map-side combine, so no task holds all segments of a common passage's end.
 
@@ -38,14 +38,14 @@ from pyspark.sql import functions as F
 from . import bloom
 from .common import Scratch, bounded_batches, dealt_join, freeing, mix, whole_groups
 
-LENGTH, GRAM, HOT = 100, 32, 2048
+LENGTH, GRAM, HOT = 100, 32, 20_000
 #: Bytes handled at once by a worker; longer documents are taken in overlapping parts.
 PART = 1 << 17
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _FROM, _COUNT = 21, (1 << 20) - 1  # bits of a packed (start, windows, flag)
 _PRIME = np.uint64((1 << 31) - 1)
 #: Repeated segments that a task remembers, so that a passage in many of its documents is sent once.
-_REMEMBERED = 50_000
+_REMEMBERED = 20_000
 
 
 _known_powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -325,6 +325,17 @@ class Prefixes:
         return x == y
 
 
+class Wrapped:
+    """The same modulo 2**64: faster, but texts can be made whose hashes collide."""
+
+    def __init__(self, data: np.ndarray):
+        self.sums = prefix_hashes(data)
+        self.inverse = _tables(len(self.sums))[1]
+
+    def equal(self, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sums[a + n] - self.sums[a]) * self.inverse[a] == (self.sums[b + n] - self.sums[b]) * self.inverse[b]
+
+
 class Collided(Exception):
     """The bytes do not confirm what hashes said."""
 
@@ -335,7 +346,7 @@ class Sorted:
     def __init__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray, seed: int = 0):
         self.data, self.at, self.size, self.group = data, at, size, group
         bases = np.random.default_rng([20240307, seed]).integers(1 << 20, (1 << 31) - 2, 2)
-        self.prefixes = [Prefixes(data, int(b)) for b in bases]
+        self.prefixes = [Prefixes(data, int(b)) for b in bases] if seed else [Wrapped(data)]
         self.order = np.argsort(group, kind="stable")
         self._sort()
 
@@ -345,7 +356,7 @@ class Sorted:
         low, high = np.zeros(len(x), np.int64), np.minimum(self.size[x], self.size[y])
         for _ in range(int(high.max(initial=0)).bit_length()):
             mid = (low + high + 1) >> 1
-            ok = self.prefixes[0].equal(a, b, mid) & self.prefixes[1].equal(a, b, mid)
+            ok = np.logical_and.reduce([p.equal(a, b, mid) for p in self.prefixes])
             low, high = np.where(ok, mid, low), np.where(ok, high, mid - 1)
         return low
 
@@ -412,7 +423,7 @@ class Sorted:
 
 
 def _in_order(data: np.ndarray, at: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[Sorted, np.ndarray]:
-    """Sorted suffixes and their verified common extensions; other bases are taken until the bytes confirm them."""
+    """Sorted suffixes and their verified common extensions; other hashes are taken until the bytes confirm them."""
     for seed in itertools.count():
         s = Sorted(data, at, size, group, seed)
         try:
