@@ -30,6 +30,10 @@ MIN_RATIO = 0.5
 SAMPLE_DOCS, SAMPLE_STRINGS = 2000, 1000
 
 _SPAN = "array<struct<start:int,kind:int,stop:int>>"
+_FOUND = "array<struct<start:int,kind:int,stop:int,token:string>>"
+#: Elements folded one by one in _running, and characters of a piece that redact() cuts from.
+_BLOCK, _PIECE = 64, 512
+_FAR = 2**31 - 1
 
 
 def _with(value: Column, use) -> Column:
@@ -37,27 +41,41 @@ def _with(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _running(values: Column, zero: int, op) -> Column:
+    """Fold of each prefix of an array of integers, in blocks: nothing is folded or copied once for each element before it."""
+    fold = lambda part: F.aggregate(part, F.lit(zero), op)
+    count = lambda v: F.ceil(F.size(v) / _BLOCK).cast("int")
+
+    def joined(v, blocks):
+        own = lambda b: F.slice(v, b * _BLOCK + 1, _BLOCK)
+        inner = lambda b: _with(F.struct(own(b).alias("x"), fold(F.slice(blocks, F.lit(1), b)).alias("z")), lambda r: F.transform(r["x"], lambda _, j: op(r["z"], fold(F.slice(r["x"], F.lit(1), j + 1)))))
+        return F.flatten(F.transform(F.sequence(F.lit(0), count(v) - 1), inner))
+
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), count(v) - 1), lambda b: fold(F.slice(v, b * _BLOCK + 1, _BLOCK)))
+    done = _with(values, lambda v: F.when(F.size(v) > 0, _with(F.struct(v.alias("v"), blocks(v).alias("b")), lambda r: joined(r["v"], r["b"]))))
+    return F.coalesce(done, F.array().cast("array<int>"))
+
+
 def _found(text: Column, pattern: str, kind: int, value: int | None = None, least: int = 0) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches; with value, only those whose group is long enough."""
+    """Spans of a pattern's leftmost non-overlapping matches, with what matched; with value, only those whose group is long enough."""
     every = lambda group: F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     found = F.struct(F.split(text, pattern, -1).alias("gaps"), every(0).alias("hits"), *([every(value).alias("values")] if value is not None else []))
-    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("i"), F.array().cast(_SPAN).alias("out"))
 
     def spans(f):
-        def step(acc, hit):
-            start = acc["at"] + F.char_length(F.get(f["gaps"], acc["i"]))
-            stop = start + F.char_length(hit)
-            span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-            long_enough = F.char_length(F.get(f["values"], acc["i"])) >= least if value is not None else F.lit(True)
-            return F.struct(stop.alias("at"), (acc["i"] + 1).alias("i"), F.when(long_enough, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        sizes = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["hits"])), f["hits"], lambda g, h: F.char_length(g) + F.char_length(h))
+        each = lambda stops: F.transform(f["hits"], lambda h, i: F.struct((F.get(stops, i) - F.char_length(h)).alias("start"), F.lit(kind).alias("kind"), F.get(stops, i).alias("stop"), h.alias("token")))
+        got = _with(_running(sizes, 0, lambda x, y: x + y), each)
+        return got if value is None else F.filter(got, lambda _, i: F.char_length(F.get(f["values"], i)) >= least)
+
+    return F.when(text.rlike(pattern), _with(found, spans)).otherwise(F.array().cast(_FOUND))
 
-        return F.aggregate(f["hits"], state, step)["out"]
 
-    return F.when(text.rlike(pattern), _with(found, spans)).otherwise(F.array().cast(_SPAN))
+def _bare(found: Column) -> Column:
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
 
 
 def base_spans(text: Column) -> Column:
-    return F.concat(_found(text, ASSIGN, 0, 2, 6), _found(text, ACCESS, 1), _found(text, HEX, 2))
+    return _bare(F.concat(_found(text, ASSIGN, 0, 2, 6), _found(text, ACCESS, 1), _found(text, HEX, 2)))
 
 
 def labelled_samples(docs: DataFrame, text: str = "text", id_col: str = "doc_id", max_docs: int = SAMPLE_DOCS, strings: int = SAMPLE_STRINGS) -> DataFrame:
@@ -83,14 +101,19 @@ def labelled_samples(docs: DataFrame, text: str = "text", id_col: str = "doc_id"
     return hits.unionByName(made).select("token", one).unionByName(words.unionByName(numbers).select("token", none))
 
 
-def _code(token: Column, i: Column) -> Column:
-    place = lambda at: F.instr(F.lit(ALPHABET), F.substring(token, at, F.lit(1)))
-    return place(i) * WIDTH + place(i + 1)
+def _codes(token: Column) -> Column:
+    """Place of each character in ALPHABET, 0 for others."""
+    places = F.from_json(F.lit(str([ALPHABET.find(chr(c)) + 1 for c in range(128)])), "array<int>")
+    return F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(places, F.ascii(c)), F.lit(0)))
+
+
+def _transitions(codes: Column) -> Column:
+    return F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: a * WIDTH + b)
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     """Log-likelihood ratio of each transition, at most WIDTH x WIDTH numbers, from counts made on Spark."""
-    pairs = samples.where(F.char_length("token") >= 2).select("label", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("token") - 1), lambda i: _code(F.col("token"), i))).alias("code"))
+    pairs = samples.where(F.char_length("token") >= 2).select("label", F.explode(_with(_codes(F.col("token")), _transitions)).alias("code"))
     n = [[0.0] * WIDTH * WIDTH for _ in range(2)]
     for label, code, count in pairs.groupBy("label", "code").count().collect():  # two small matrices
         n[label][code] += count
@@ -105,18 +128,26 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
 def ratio_of(token: Column, model: list[float]) -> Column:
     """Mean log-likelihood ratio of a token's transitions."""
     numbers = F.from_json(F.lit(str(model)), "array<double>")
-    total = F.aggregate(F.sequence(F.lit(1), F.char_length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(numbers, _code(token, i)))
+    total = F.aggregate(_with(_codes(token), _transitions), F.lit(0.0), lambda acc, code: acc + F.get(numbers, code))
     return total / (F.char_length(token) - 1)
 
 
+def _chosen(found: Column, model: list[float], min_ratio: float) -> Column:
+    """Base spans and those random tokens that overlap none of them, from all in order: a token is free if the base spans that
+    start before it have ended, and the next one starts after it."""
+    before = _running(F.transform(found, lambda s: F.when(s["kind"] < 3, s["stop"]).otherwise(0)), 0, lambda x, y: F.greatest(x, y))
+    after = _running(F.transform(F.reverse(found), lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(_FAR)), _FAR, lambda x, y: F.least(x, y))
+    return _with(F.struct(before.alias("b"), F.reverse(after).alias("a")), lambda near: F.filter(found, lambda s, i: F.when(s["kind"] < 3, True).when((F.get(near["b"], i) <= s["start"]) & (F.get(near["a"], i) >= s["stop"]), ratio_of(s["token"], model) >= min_ratio).otherwise(False)))
+
+
 def scan(docs: DataFrame, model: list[float], text: str = "text", min_ratio: float = MIN_RATIO) -> DataFrame:
-    """docs with __base and __spans: arrays of (start, kind as index of KINDS, stop) in order of start, then kind."""
+    """docs with __base and __spans: arrays of (start, kind as index of KINDS, stop) in order of start, then kind. The work
+    follows the length of a text, also where it holds very many spans or one very long token."""
     t = F.coalesce(F.col(text), F.lit(""))
-    free = lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    is_random = lambda s: _with(F.substring(t, s["start"] + 1, s["stop"] - s["start"]), lambda token: ratio_of(token, model)) >= min_ratio
-    found = docs.withColumn("__base", F.array_sort(base_spans(t)))
-    found = found.withColumn("__more", F.filter(_found(t, TOKEN, 3), lambda s: F.when(free(s), is_random(s)).otherwise(False)))
-    return found.withColumn("__spans", F.when(F.size("__more") > 0, F.array_sort(F.concat("__base", "__more"))).otherwise(F.col("__base"))).drop("__more")
+    found = docs.withColumn("__base", F.array_sort(base_spans(t))).withColumn("__more", _found(t, TOKEN, 3))
+    known = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), F.lit(None).cast("string").alias("token")))
+    chosen = _bare(_with(F.array_sort(F.concat(known, "__more")), lambda every: _chosen(every, model, min_ratio)))
+    return found.withColumn("__spans", F.when(F.size("__more") > 0, chosen).otherwise(F.col("__base"))).drop("__more")
 
 
 def listed(spans: str) -> Column:
@@ -127,14 +158,19 @@ def listed(spans: str) -> Column:
 def redact(found: DataFrame, text: str = "text", by: str = "[SECRET]") -> DataFrame:
     """Replaces the spans of scan() in the text; overlapping spans are one."""
     t = F.coalesce(F.col(text), F.lit(""))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.substring(t, acc["at"] + 1, s["start"] - acc["at"])
-        apart = (s["start"] >= acc["at"])
-        out = F.when(apart, F.concat(acc["out"], gap, F.lit(by))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
 
-    done = F.aggregate("__spans", state, step)
-    rest = lambda d: F.concat(d["out"], F.substring(t, d["at"] + 1, F.char_length(t)))
-    return found.withColumn(text, F.when(F.size("__spans") > 0, _with(done, rest)).otherwise(F.col(text)))
+    def part(pieces, a, b):
+        """Characters a to b of the text, from its pieces."""
+        i, j = F.floor(a / _PIECE).cast("int"), F.floor(b / _PIECE).cast("int")
+        own = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        several = F.concat(F.substring(own(i), a % _PIECE + 1, F.lit(_PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(own(j), F.lit(1), b % _PIECE))
+        return F.when(i == j, F.substring(own(i), a % _PIECE + 1, b - a)).otherwise(several)
+
+    def replaced(r):
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(r["stops"], i - 1))
+        each = F.transform(r["spans"], lambda s, i: F.when(s["start"] >= before(i), F.concat(part(r["pieces"], before(i), s["start"]), F.lit(by))).otherwise(""))
+        return F.concat(F.array_join(each, ""), part(r["pieces"], F.element_at(r["stops"], -1), r["n"]))
+
+    stops = _running(F.transform("__spans", lambda s: s["stop"]), 0, lambda x, y: F.greatest(x, y))
+    row = F.struct(F.regexp_extract_all(t, F.lit("(?s).{1,%d}" % _PIECE), F.lit(0)).alias("pieces"), stops.alias("stops"), F.col("__spans").alias("spans"), F.char_length(t).alias("n"))
+    return found.withColumn(text, F.when(F.size("__spans") > 0, _with(row, replaced)).otherwise(F.col(text)))
