@@ -76,13 +76,17 @@ def test_op1(spark, documents):
     check_secrets(rows, documents)
 
 
+def word_model(spark):
+    words = spark.createDataFrame([(w,) for w in ["ordinary", "identifier", "schoenewoerter", "thequickbrownfox", "get_value_of_key", "readTheWholeFile", "jumpsoverlazydog"] * 30], "token string")
+    none = spark.createDataFrame([], "doc_id long, text string")
+    return secrets.train(secrets.labelled_samples(none).unionByName(words.withColumn("label", F.lit(0))))
+
+
 def test_secrets_on_odd_rows(spark):
     key = base64.b64encode(bytes(range(90, 120))).decode()
     texts = [None, "", "no secrets here", "password=short", "secret=token:abcdefgh and TOKEN : 'abcdef12'", "é👍 api_key=ABCDEFGH.x AKIA" + "Z9" * 8 + "!", "f" * 24 + " " + "f" * 23, f"see {key} there", "thequickbrownfoxjumpsoverthelazydog", "4041894974608795", "x" * 50_000, "password=" + "a1" * 12 + " " + "0f" * 20]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    words = spark.createDataFrame([(w,) for w in ["ordinary", "identifier", "schoenewoerter", "thequickbrownfox", "get_value_of_key", "readTheWholeFile", "jumpsoverlazydog"] * 30], "token string")
-    none = docs.where("doc_id < 0")
-    model = secrets.train(secrets.labelled_samples(none).unionByName(words.withColumn("label", F.lit(0))))
+    none, model = docs.where("doc_id < 0"), word_model(spark)
     found = secrets.scan(docs, model)
     spans = {r.doc_id: r.s for r in found.select("doc_id", secrets.listed("__spans").alias("s")).collect()}
     for i, t in enumerate(texts):
@@ -95,6 +99,32 @@ def test_secrets_on_odd_rows(spark):
     assert secrets.scan(none, model).count() == 0
 
 
+def test_secrets_of_long_texts_take_linear_time(spark):
+    """One token of a million characters; a hundred thousand tokens; very many secrets in one text."""
+    import time
+
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    token = lambda n: "".join(R.choices(letters, k=n))
+    texts = ["see " + token(1_000_000) + " there", " ".join(token(20) for _ in range(100_000)), " ".join(f"token={token(12)}é" for _ in range(30_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    model = word_model(spark)
+    df.write.format("noop").mode("overwrite").save()
+    began = time.perf_counter()
+    found = secrets.scan(df, model)
+    rows = {r.doc_id: r for r in found.select("doc_id", secrets.listed("__spans").alias("spans"), F.size("__base").alias("n")).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(found).select("doc_id", "text").collect()}
+    assert time.perf_counter() - began < 40
+    assert rows[0].spans == "random:4:1000004" and clean[0] == "see [SECRET] there"
+    assert rows[1].spans.count("random") > 70_000 and rows[2].n == 30_000
+    assert clean[2] == " ".join(["[SECRET]é"] * 30_000)
+    spans = [tuple(map(int, s.split(":")[1:])) for s in rows[1].spans.split(",")]
+    want, at = [], 0
+    for a, b in spans:
+        want += [texts[1][at:a], "[SECRET]"]
+        at = b
+    assert clean[1] == "".join([*want, texts[1][at:]])
+
+
 # 2 URLs
 
 
