@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .terms import BIN, LIST, NUM, TEXT, Term, as_bytes, as_num, as_text, failed, let, made
+from .terms import BIN, LIST, NUM, TEXT, Term, as_bytes, as_num, as_text, byte_values, bytes_of, failed, let, made
 
 
 def blen(x) -> Term:
@@ -54,13 +54,7 @@ def btl(x) -> Term:
     from ..operators.lists import of_array
 
     x = as_bytes(x)
-
-    def each(v):
-        n = F.octet_length(v)
-        byte = lambda i: F.conv(F.hex(F.substring(v, i, F.lit(1))), 16, 10).cast("decimal(3,0)")
-        return F.when(n == 0, F.array().cast("array<decimal(3,0)>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), byte))
-
-    return of_array(made(LIST, let(each, x.value), x), lambda c: Term(NUM, c, precision=3))
+    return of_array(made(LIST, F.transform(byte_values(x.value), lambda n: n.cast("decimal(3,0)")), x), lambda c: Term(NUM, c, precision=3))
 
 
 def ltb(x: Term) -> Term:
@@ -74,7 +68,7 @@ def ltb(x: Term) -> Term:
         def joined(rows):
             bad = F.coalesce(failed(F.size(rows) == 0, "E_NO_SCALAR"), failed(F.exists(rows, lambda r: r["n"].isNull()), "E_NOT_NUM"), failed(F.exists(rows, lambda r: (r["n"] < 0) | (r["n"] > 255) | (r["s"] != 0)), "E_RANGE"))
             clean = F.filter(rows, lambda r: r["n"].between(0, 255))
-            return F.struct(bad.alias("error"), F.unhex(F.array_join(F.transform(clean, lambda r: F.lpad(F.hex(r["n"].cast("int")), 2, "0")), "")).alias("value"))
+            return F.struct(bad.alias("error"), bytes_of(F.transform(clean, lambda r: r["n"].cast("int"))).alias("value"))
 
         return let(joined, F.transform(entries, one))
 

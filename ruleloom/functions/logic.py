@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import BIN, BOOL, DIGITS, LIST, NUM, TEXT, Term, as_bool, as_bytes, as_text, failed, failing, first_error, let, made, term
+from .terms import BIN, BOOL, DIGITS, LIST, NUM, TEXT, Term, as_bool, as_bytes, as_text, byte_values, bytes_of, failed, failing, first_error, made, term
 
 
 def _none() -> Column:
@@ -159,15 +159,8 @@ def concat(*parts) -> Term:
 
 def _bits(a, b, op) -> Term:
     a, b = as_bytes(a), as_bytes(b)
-    part = lambda x, i: F.conv(F.hex(F.substring(x, i, F.lit(7))), 16, 10).cast("long")  # noqa: E731  # seven bytes fit a long
-
-    def each(x, y):
-        n = F.octet_length(x)
-        parts = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(7)), lambda i: F.lpad(F.hex(op(part(x, i), part(y, i))), 2 * F.least(F.lit(7), n - i + 1), F.lit("0")))
-        return F.when(n == 0, F.lit(bytearray(b""))).otherwise(F.unhex(F.array_join(parts, "")))
-
     uneven = failed(F.octet_length(a.value) != F.octet_length(b.value), "E_LEN_MISMATCH")
-    return made(BIN, let(each, a.value, b.value), a, b, errors=(uneven,))
+    return made(BIN, bytes_of(F.zip_with(byte_values(a.value), byte_values(b.value), op)), a, b, errors=(uneven,))
 
 
 def band(a, b) -> Term:

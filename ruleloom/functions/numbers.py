@@ -1,7 +1,8 @@
 """Exact numbers: arithmetic, comparison and the numeric functions.
 
 Result scales: + - % the larger one, * their sum, / the least one if the quotient is exact within ten digits, else ten
-(rounded half away from zero). What does not fit in 38 digits is E_RANGE.
+(rounded half away from zero). What does not fit in 38 digits is E_RANGE (functions.exact has no such bound). Where the
+operands' declared digits prove that a result fits, it is a plain decimal expression without a range test.
 """
 
 from __future__ import annotations
@@ -9,9 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .terms import BOOL, DIGITS, NUM, TEXT, Term, as_num, failed, failing, let, made, term
+from .terms import BOOL, DIGITS, NUM, NUMBER, TEXT, Term, as_num, as_text, failed, failing, first_error, let, made, term
 
 QUOTIENT = 10  # fraction digits of an inexact quotient
+#: Fraction digits that a product of numbers from texts holds.
+PRODUCT = 18
 #: Limits of the language (fixed values).
 ROUND_MOST, POWER_MOST = 1_000_000, 100_000
 
@@ -38,21 +41,29 @@ def _range(result: Column, *args: Term) -> Column:
     return failed(have & result.isNull(), "E_RANGE")
 
 
-def _linear(a: Term, b: Term, op) -> Term:
+def _sure(value: Column, precision: int, scale: int, *args: Term, shown: Column | None = None) -> Term:
+    """A result that fits by its operands' digits."""
+    error = first_error(*(x.error for x in args))
+    return Term(NUM, value.cast(f"decimal({precision},{scale})"), error, frozenset().union(*(x.deps for x in args)), precision, scale, shown)
+
+
+def _linear(a: Term, b: Term, op, exact) -> Term:
     a, b = as_num(a), as_num(b)
     scale = max(a.scale, b.scale)
-    value = op(_wide(a, scale), _wide(b, scale))
     precision = max(a.precision - a.scale, b.precision - b.scale) + scale + 1
     shown = None if a.shown is None and b.shown is None else F.greatest(_shown(a), _shown(b))
+    if precision <= DIGITS:
+        return _sure(exact(a.value, b.value), precision, scale, a, b, shown=shown)
+    value = op(_wide(a, scale), _wide(b, scale))
     return _fit(value, precision, scale, a, b, shown, _range(value, a, b))
 
 
 def add(a, b) -> Term:
-    return _linear(a, b, lambda x, y: F.try_add(x, y))
+    return _linear(a, b, F.try_add, lambda x, y: x + y)
 
 
 def sub(a, b) -> Term:
-    return _linear(a, b, lambda x, y: F.try_subtract(x, y))
+    return _linear(a, b, F.try_subtract, lambda x, y: x - y)
 
 
 def neg(a) -> Term:
@@ -62,49 +73,81 @@ def neg(a) -> Term:
 
 def mul(a, b) -> Term:
     a, b = as_num(a), as_num(b)
+    if a.shown is not None or b.shown is not None:
+        return _mul_by_row(a, b)
     scale = a.scale + b.scale
+    if a.precision + b.precision + 1 <= DIGITS:
+        return _sure(a.value * b.value, a.precision + b.precision + 1, scale, a, b)
     if scale > DIGITS - 2:
         return failing("E_RANGE", NUM, a, b)
-    over = max(0, a.precision + b.precision + 1 - DIGITS)
+    over = a.precision + b.precision + 1 - DIGITS
     pa = max(a.scale + 1, a.precision - (over + 1) // 2)
-    pb = max(b.scale + 1, DIGITS - 1 - pa) if over else b.precision
+    pb = max(b.scale + 1, DIGITS - 1 - pa)
     pa = min(pa, DIGITS - 1 - pb)
     x, y = a.value.try_cast(f"decimal({pa},{a.scale})"), b.value.try_cast(f"decimal({pb},{b.scale})")
     value = F.try_multiply(x, y)
-    shown = None if a.shown is None and b.shown is None else _shown(a) + _shown(b)
-    return _fit(value, a.precision + b.precision + 1, scale, a, b, shown, _range(value, a, b))
+    return _fit(value, a.precision + b.precision + 1, scale, a, b, None, _range(value, a, b))
+
+
+def _mul_by_row(a: Term, b: Term) -> Term:
+    """Product of numbers whose fraction digits differ by row: their digits are multiplied as whole numbers."""
+    scale, shown = min(a.scale + b.scale, PRODUCT), _shown(a) + _shown(b)
+
+    def placed(digits, shown):
+        size = F.lpad(F.abs(digits).cast("string"), F.greatest(F.char_length(F.abs(digits).cast("string")), shown + 1), "0")
+        cut = F.char_length(size) - shown
+        whole, rest = F.substring(size, F.lit(1), cut), F.substring(size, cut + 1, shown)
+        return F.concat(F.when(digits < 0, "-").otherwise(""), whole, F.lit("."), rest, F.lit("0")).try_cast(f"decimal({DIGITS},{scale})")
 
+    value = let(lambda d, s: F.when(s <= scale, placed(d, s)), F.try_multiply(_whole_digits(a), _whole_digits(b)), shown)
+    return made(NUM, value, a, b, errors=(_range(value, a, b),), precision=DIGITS, scale=scale, shown=shown)
 
-def _unscaled(x: Term) -> Column:
-    """|x| without its decimal point."""
-    whole = F.abs(x.value) * F.lit(str(10**x.scale)).cast(f"decimal({x.scale + 1},0)") if x.scale else F.abs(x.value)
-    return whole.try_cast("decimal(38,0)")
+
+def _whole_digits(x: Term) -> Column:
+    """x without its decimal point, by the digits each row shows."""
+    return F.replace(as_text(x).value, F.lit("."), F.lit("")).try_cast("decimal(38,0)")
 
 
 def div(a, b) -> Term:
-    """Long division on whole numbers, from the unscaled values: ten more digits for the quotient, and the difference in scale."""
+    """Long division: a remainder decides rounding and exactness. Ten more digits for the quotient, and the difference in scale."""
     a, b = as_num(a), as_num(b)
-    up, down = QUOTIENT + max(0, b.scale - a.scale), max(0, a.scale - b.scale)
-    power = lambda n: F.lit(str(10**n)).cast(f"decimal({n + 1},0)")
-    n = (_narrow(_unscaled(a), 37 - up) * power(up)).try_cast("decimal(38,0)")
-    m = F.nullif((_narrow(_unscaled(b), 37 - down) * power(down)).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    whole = a.precision - a.scale + b.scale  # digits before the point
+    zero = failed(b.value == 0, "E_DIV_ZERO")
+    if a.precision > DIGITS - QUOTIENT - 2 or whole + QUOTIENT > 27:
+        return _div_by_row(a, b, zero)
+    n = a.value * F.lit(str(10**QUOTIENT)).cast(f"decimal({QUOTIENT + 1},0)")
+    m = F.nullif(b.value, F.lit(0).cast(f"decimal({b.precision},{b.scale})"))
+    rest = n % m
+    away = F.when((a.value < 0) == (b.value < 0), 1).otherwise(-1)
+    q = ((n - rest) / m).cast("decimal(27,0)") + F.when(F.abs(rest) * 2 >= F.abs(b.value), away).otherwise(0)
+    precision = min(DIGITS, whole + 1 + QUOTIENT)
+    value = (q.cast("decimal(27,0)") * F.lit("0.0000000001").cast("decimal(10,10)")).cast(f"decimal({precision},{QUOTIENT})")
+    shown = F.when(rest == 0, _least_digits(value)).otherwise(QUOTIENT)
+    return Term(NUM, value, first_error(a.error, b.error, zero), a.deps | b.deps, precision, QUOTIENT, shown)
+
+
+def _least_digits(v: Column) -> Column:
+    """Fraction digits of a quotient without closing zeros."""
+    return F.lit(QUOTIENT) - F.char_length(F.regexp_extract(v.cast("string"), r"(0*)\z", 1))
+
+
+def _div_by_row(a: Term, b: Term, zero: Column) -> Term:
+    """The same on whole numbers, where the declared digits do not prove that all fits."""
+    power = lambda k: F.rpad(F.lit("1"), k + 1, "0").try_cast("decimal(38,0)")
+    up, down = F.greatest(_shown(b) - _shown(a), F.lit(0)) + QUOTIENT, F.greatest(_shown(a) - _shown(b), F.lit(0))
+    n = F.try_multiply(F.abs(_whole_digits(a)), power(up))
+    m = F.nullif(F.try_multiply(F.abs(_whole_digits(b)), power(down)), F.lit(0).cast("decimal(38,0)"))
 
     def quotient(n, m, r, minus):
-        q = ((n - r).try_cast("decimal(38,0)") / m).try_cast("decimal(28,0)") + F.when(r * 2 >= m, 1).otherwise(0)
+        q = F.try_divide((n - r).try_cast("decimal(38,0)"), m).try_cast("decimal(28,0)") + F.when(r * 2 >= m, 1).otherwise(0)
         size = (q.try_cast("decimal(27,0)") * F.lit("0.0000000001").cast("decimal(10,10)")).try_cast(f"decimal(38,{QUOTIENT})")
-        digits = lambda v: F.char_length(F.regexp_extract(v.cast("string"), r"\.([0-9]*?)0*\z", 1))
-        return let(lambda v: F.struct(F.when(minus, -v).otherwise(v).alias("value"), F.when(r == 0, digits(v)).otherwise(QUOTIENT).alias("shown")), size)
+        return let(lambda v: F.struct(F.when(minus, -v).otherwise(v).alias("value"), F.when(r == 0, _least_digits(v)).otherwise(QUOTIENT).alias("shown")), size)
 
     done = let(lambda n, m, minus: let(quotient, n, m, n % m, minus), n, m, (a.value < 0) != (b.value < 0))
     value, shown = done["value"], done["shown"]
-    zero = failed(b.value == 0, "E_DIV_ZERO")
     return made(NUM, value, a, b, errors=(zero, failed(a.value.isNotNull() & (b.value != 0) & value.isNull(), "E_RANGE")), precision=DIGITS, scale=QUOTIENT, shown=shown)
 
 
-def _narrow(x: Column, digits: int) -> Column:
-    return x.try_cast(f"decimal({max(1, digits)},0)")
-
-
 def mod(a, b) -> Term:
     a, b = as_num(a), as_num(b)
     scale = max(a.scale, b.scale)
@@ -115,10 +158,30 @@ def mod(a, b) -> Term:
 
 
 def compare(a, b, op) -> Term:
+    """Numbers of texts are compared digit by digit, so any number of digits will do."""
+    a, b = term(a), term(b)
+    long = lambda x: x.kind == TEXT and (x.literal is None or len(x.literal) > DIGITS)
+    if (long(a) or long(b)) and {a.kind, b.kind} <= {TEXT, NUM}:
+        return _compare_texts(a, b, op)
     a, b = as_num(a), as_num(b)
     return made(BOOL, op(a.value, b.value), a, b)
 
 
+def _compare_texts(a: Term, b: Term, op) -> Term:
+    sides, errors = [], []
+    for x in (a, b):
+        t = as_text(x)
+        bad = failed(~t.value.rlike(NUMBER), "E_NOT_NUM") if x.kind == TEXT else None
+        errors += [t.error, bad]
+        whole = F.regexp_extract(t.value, r"^-?0*([0-9]*)", 1)
+        part = F.regexp_extract(t.value, r"\.([0-9]*?)0*\z", 1)
+        sign = F.when((whole == "") & (part == ""), 0).when(t.value.startswith("-"), -1).otherwise(1)
+        sides.append(F.struct(sign.alias("sign"), F.struct(F.char_length(whole).alias("n"), whole.alias("whole"), part.alias("part")).alias("size")))
+    told = let(lambda x, y: F.when(x["sign"] != y["sign"], op(x["sign"], y["sign"])).when(x["sign"] >= 0, op(x["size"], y["size"])).otherwise(op(y["size"], x["size"])), *sides)
+    error = first_error(*errors)
+    return Term(BOOL, told if error is None else F.when(error.isNull(), told), error, a.deps | b.deps)
+
+
 def abs_(x) -> Term:
     x = as_num(x)
     return made(NUM, F.abs(x.value), x, precision=x.precision, scale=x.scale, shown=x.shown)
@@ -155,9 +218,11 @@ def round_(x, n: int) -> Term:
     x = as_num(x)
     if not 0 <= n <= 30:
         return failing("E_RANGE", NUM, x)
-    p = min(DIGITS, x.precision - x.scale + 1 + n)
-    value = F.round(x.value, n).try_cast(f"decimal({p},{n})")
-    return made(NUM, value, x, errors=(_range(value, x),), precision=p, scale=n)
+    p = x.precision - x.scale + 1 + n
+    if p <= DIGITS:
+        return _sure(F.round(x.value, n), p, n, x)
+    value = F.round(x.value, n).try_cast(f"decimal({DIGITS},{n})")
+    return made(NUM, value, x, errors=(_range(value, x),), precision=DIGITS, scale=n)
 
 
 def power(x, n: int) -> Term:
@@ -204,4 +269,4 @@ def isnum(x) -> Term:
         return made(BOOL, F.lit(True), x)
     if x.kind != TEXT:
         return made(BOOL, F.lit(False), x)
-    return made(BOOL, x.value.rlike(r"^-?[0-9]+(\.[0-9]+)?\z"), x)
+    return made(BOOL, x.value.rlike(NUMBER), x)

@@ -121,11 +121,9 @@ def rfind(pattern: str, subject, flags: str = "") -> Term:
     x = as_text(subject)
 
     def build(p, g):
-        mode, body = p.split(")", 1)
-        before = F.regexp_extract(x.value, f"{mode})^(.*?)(?:{body.replace('^', chr(0))})".replace(chr(0), "^"), 1)
-        if "^" in body:  # an anchored branch cannot be looked for behind a prefix
-            before = F.get(F.split(x.value, p, 2), 0)
-        at = F.when(x.value.rlike(p), F.char_length(before) + 1).otherwise(0)
+        found = F.regexp_instr(x.value, F.lit(p))  # in UTF-16 units
+        before = F.decode(F.substring(F.encode(x.value, "UTF-16BE"), F.lit(1), (found - 1) * 2), "UTF-16BE")
+        at = F.when(found > 0, F.char_length(before) + 1).otherwise(found)
         return made(NUM, at.cast("decimal(10,0)"), x, precision=10)
 
     return _with(pattern, flags, NUM, x, build)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from decimal import Decimal
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUM, TEXT, BIN, BOOL, LIST = "num", "text", "bin", "bool", "list"
@@ -123,6 +123,8 @@ def failing(code: str, kind: str = TEXT, *args: Term) -> Term:
 
 
 _NUMBER = re.compile(r"-?[0-9]+(\.[0-9]+)?\Z", re.A)
+#: Form of a number in a text, for Spark.
+NUMBER = r"^-?[0-9]+(\.[0-9]+)?\z"
 
 
 def number(x: int | str | Decimal) -> Term:
@@ -196,7 +198,8 @@ def as_text(x) -> Term:
     return failing("E_NOT_TEXT", TEXT, x)
 
 
-FRACTION = 6
+#: Fraction digits that arithmetic on numbers in texts holds (comparison holds any number, functions.exact too).
+FRACTION = 12
 
 
 def as_num(x, fraction: int = FRACTION) -> Term:
@@ -210,7 +213,7 @@ def as_num(x, fraction: int = FRACTION) -> Term:
         return failing("E_NOT_NUM", NUM, x)
     if isinstance(x.literal, str):
         return number(x.literal) if _NUMBER.match(x.literal) else failing("E_NOT_NUM", NUM, x)
-    ok = x.value.rlike(r"^-?[0-9]+(\.[0-9]+)?\z")
+    ok = x.value.rlike(NUMBER)
     shown = F.when(F.instr(x.value, ".") > 0, F.char_length(x.value) - F.instr(x.value, ".")).otherwise(0)
     value = F.when(ok & (shown <= fraction), x.value.try_cast(f"decimal({DIGITS},{fraction})"))
     return made(NUM, value, x, errors=(failed(~ok, "E_NOT_NUM"), failed(value.isNull() & ok, "E_RANGE")), precision=DIGITS, scale=fraction, shown=shown)
@@ -227,6 +230,16 @@ def as_bytes(x) -> Term:
     return failing("E_NOT_BIN", BIN, x)
 
 
+def byte_values(x: Column) -> Column:
+    """Array of the values of a binary column's bytes: in Latin-1 each byte is one character."""
+    return F.transform(F.slice(F.split(F.decode(x, "ISO-8859-1"), ""), F.lit(1), F.octet_length(x)), lambda c: F.ascii(c))
+
+
+def bytes_of(values: Column) -> Column:
+    """Bytes of an array of values from 0 to 255."""
+    return F.encode(F.array_join(F.transform(values, lambda n: F.char(n)), ""), "ISO-8859-1")
+
+
 def as_bool(x) -> Term:
     x = term(x)
     return x if x.kind == BOOL else failing("E_NOT_BOOL", BOOL, x)
@@ -260,5 +273,20 @@ def captured(x: Term) -> Column:
     return F.struct(x.value.alias("value"), (F.lit(None).cast("string") if x.error is None else x.error).alias("error"))
 
 
+def staged(df: DataFrame, terms: dict[str, Term]) -> tuple[DataFrame, dict[str, Term]]:
+    """df with hidden columns that hold the Terms, and Terms that read them. Use it for what a rule mentions several times and
+    what is costly to compute, as aggregates of lists: Spark computes such a column once."""
+    cols, out = {}, {}
+    for n, t in terms.items():
+        cols[f"__{n}"] = t.value
+        if t.error is not None:
+            cols[f"__{n}_error"] = t.error
+        if t.shown is not None:
+            cols[f"__{n}_shown"] = t.shown
+        read = lambda what, has: F.col(what) if has is not None else None
+        out[n] = replace(t, value=F.col(f"__{n}"), error=read(f"__{n}_error", t.error), shown=read(f"__{n}_shown", t.shown))
+    return df.withColumns(cols), out
+
+
 def _type(x: Term) -> str | None:
     return {NUM: f"decimal({x.precision},{x.scale})", TEXT: "string", BIN: "binary", BOOL: "boolean"}.get(x.kind)

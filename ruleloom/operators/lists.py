@@ -134,40 +134,57 @@ def any_(x: Term, body: Callable) -> Term:
     return _quantified(x, body, True)
 
 
-def _each(x: Term, body: Callable, coerce: Callable[[Term], Term]) -> tuple[Column, Column, list[Term], Term]:
-    """Array of (k, v, e, t): entries with the body's value and error; the first error; a sample Term."""
-    of, seen = _free(x, body)
-    each = F.transform(x.value, lambda en: (lambda t: F.struct(en["k"].alias("k"), en["v"].alias("v"), t.value.alias("t"), _err(t).alias("e"), (F.lit(t.scale) if t.shown is None else t.shown).alias("s")))(coerce(of(en))))
-    error = F.get(F.filter(F.transform(each, lambda r: r["e"]), lambda e: e.isNotNull()), F.lit(0))
-    return each, error, seen, coerce(seen[-1])
+def _first_failure(x: Term, of: Callable[[Column], Term]) -> Column:
+    """Code of the first element whose Term fails."""
+    return F.get(F.filter(F.transform(x.value, lambda en: _err(of(en))), lambda e: e.isNotNull()), F.lit(0))
+
+
+def _shown(t: Term) -> Column:
+    return F.lit(t.scale) if t.shown is None else t.shown
 
 
 def map_(x: Term, body: Callable) -> Term:
     """List of the body's values, renumbered."""
-    each, error, seen, t = _each(x, body, term)
+    of, seen = _free(x, body)
+    error = _first_failure(x, of)
+    t = seen[-1]
     if t.kind == NUM:
-        array = F.transform(each, lambda r: F.struct(r["t"].alias("n"), r["s"].alias("s")))
-        of = lambda c: Term(NUM, c["n"], precision=t.precision, scale=t.scale, shown=c["s"])
+        array = F.transform(x.value, lambda en: (lambda y: F.struct(y.value.alias("n"), _shown(y).alias("s")))(of(en)))
+        item = lambda c: Term(NUM, c["n"], precision=t.precision, scale=t.scale, shown=c["s"])
     else:
-        array, of = F.transform(each, lambda r: r["t"]), lambda c: Term(t.kind, c, of=t.of)
-    return of_array(_closed(LIST, array, error, x, seen), of)
+        array, item = F.transform(x.value, lambda en: of(en).value), lambda c: Term(t.kind, c, of=t.of)
+    return of_array(_closed(LIST, array, error, x, seen), item)
 
 
 def filter_(x: Term, body: Callable) -> Term:
     """Elements for which the body is true; they keep their keys."""
-    each, error, seen, _ = _each(x, body, as_bool)
-    kept = F.transform(F.filter(each, lambda r: F.coalesce(r["t"], F.lit(False))), lambda r: F.struct(r["k"].alias("k"), r["v"].alias("v")))
+    of, seen = _free(x, body)
+    error = _first_failure(x, lambda en: as_bool(of(en)))
+    kept = F.filter(x.value, lambda en: F.coalesce(as_bool(of(en)).value, F.lit(False)))
     return _closed(LIST, kept, error, x, seen, of=x.of)
 
 
 def sum_(x: Term, body: Callable = lambda item, key: item) -> Term:
-    """Exact sum; 0 without elements."""
-    each, error, seen, t = _each(x, body, as_num)
-    kind = f"decimal({DIGITS - 1},{t.scale})"
-    zero = F.struct(F.lit(0).cast(kind).alias("n"), F.lit(0).alias("s"))
-    total = F.aggregate(each, zero, lambda acc, r: F.struct(F.try_add(acc["n"], r["t"].try_cast(f"decimal({DIGITS - 2},{t.scale})")).try_cast(kind).alias("n"), F.greatest(acc["s"], r["s"]).alias("s")))
-    over = failed(total["n"].isNull() & error.isNull(), "E_RANGE")
-    return _closed(NUM, total["n"], first_error(error, over), x, seen, precision=DIGITS - 1, scale=t.scale, shown=total["s"])
+    """Exact sum; 0 without elements. One pass gives the sum, its fraction digits and the first error."""
+    of, seen = _free(x, body)
+    as_num(_sample(x, of))
+    scale = as_num(seen[-1]).scale
+    kind = f"decimal({DIGITS - 1},{scale})"
+    zero = F.struct(F.lit(0).cast(kind).alias("n"), F.lit(0).alias("s"), F.lit(None).cast("string").alias("e"))
+
+    def step(acc, entry):
+        t = as_num(of(entry))
+        total = F.try_add(acc["n"], t.value.try_cast(f"decimal({DIGITS - 2},{scale})")).try_cast(kind)
+        return F.struct(total.alias("n"), F.greatest(acc["s"], _shown(t)).alias("s"), F.coalesce(acc["e"], _err(t)).alias("e"))
+
+    end = F.aggregate(x.value, zero, step)
+    error = F.when(end["n"].isNull(), F.coalesce(end["e"], F.lit("E_RANGE")))
+    return replace(Term(NUM, end["n"], first_error(x.error, error), precision=DIGITS - 1, scale=scale, shown=end["s"]), deps=x.deps.union(*(t.deps for t in seen)))
+
+
+def _sample(x: Term, of: Callable[[Column], Term]) -> Term:
+    """The body's Term for some element, to know its kind and digits."""
+    return of(F.get(x.value, F.lit(0)))
 
 
 def join(x, sep) -> Term:
@@ -175,8 +192,10 @@ def join(x, sep) -> Term:
     x, sep = term(x), as_text(sep)
     if x.kind != LIST:
         return made(TEXT, as_text(x).value, sep, as_text(x))
-    each, error, seen, _ = _each(x, lambda item, key: item, as_text)
-    return replace(_closed(TEXT, F.call_function("array_join", F.transform(each, lambda r: r["t"]), sep.value), first_error(sep.error, error), x, seen), deps=x.deps | sep.deps)
+    of, seen = _free(x, lambda item, key: as_text(item))
+    error = _first_failure(x, of)
+    texts = F.transform(x.value, lambda en: of(en).value)
+    return replace(_closed(TEXT, F.call_function("array_join", texts, sep.value), first_error(sep.error, error), x, seen), deps=x.deps | sep.deps)
 
 
 def fold(x: Term, start, step: Callable[[Term, object], Term]) -> Term:

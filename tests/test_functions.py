@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.functions import binary as b
+from ruleloom.functions import exact as ex
 from ruleloom.functions import logic as lg
 from ruleloom.functions import numbers as n
 from ruleloom.functions import regex as r
@@ -33,6 +34,10 @@ TEXT_CASES = [
     (lambda x: lg.concat(x, "-", 5), POLISH, POLISH + "-5"), (lambda x: lg.concat(x, term(True)), "a", "E_NOT_TEXT"),
     # numbers in texts
     (lambda x: x + 1, "2.50", "3.50"), (lambda x: x + 1, "abc", "E_NOT_NUM"), (lambda x: x + 1, " 2", "E_NOT_NUM"), (lambda x: x + 1, "٣", "E_NOT_NUM"), (lambda x: x * x, "1.5", "2.25"),
+    (lambda x: x + 1, "1.1234567", "2.1234567"), (lambda x: x * x, "1.1234567", "1.26215495677489"), (lambda x: x * "3", "1000000000000", "3000000000000"), (lambda x: x * "-3", "0.5", "-1.5"), (lambda x: x * "0.05", "-0.1", "-0.005"), (lambda x: x + 1, "1." + "1" * 37, "E_RANGE"),
+    (lambda x: x > 1, "1.12345678901234567890", "TRUE"), (lambda x: x == "1.1", "01.1000000000000000000000", "TRUE"), (lambda x: x < "-1.00000000000000000000001", "-1.00000000000000000000002", "TRUE"), (lambda x: x == "0", "-0.000", "TRUE"), (lambda x: x < 10, "9" * 60, "FALSE"), (lambda x: x > "a", "1", "E_NOT_NUM"), (lambda x: x >= "-5", "-05.0", "TRUE"), (lambda x: x != number("2.50"), "2.5", "FALSE"), (lambda x: x < "1", "-7", "TRUE"), (lambda x: x / 4, "12345678901234567.5", "3086419725308641.875"), (lambda x: x / "0.000001", "1.5", "1500000"),
+    # numbers of any length
+    (lambda x: ex.mul(x, "987654321"), "123456789012345678901234567890", "121932631124828532112482853211126352690"), (lambda x: ex.add(x, 1), "1.12345678901234567890", "2.12345678901234567890"), (lambda x: ex.sub(x, "0.50"), "0.5", "0.00"), (lambda x: ex.div(x, 3), "-2", "-0.6666666667"), (lambda x: ex.div(x, 4), "10", "2.5"), (lambda x: ex.div(x, "0.0"), "1", "E_DIV_ZERO"), (lambda x: ex.mod(x, 3), "-5.5", "-2.5"), (lambda x: ex.power(x, 40), "10", "1" + "0" * 40), (lambda x: ex.power(x, "-1"), "10", "E_RANGE"), (lambda x: ex.round_(x, "40"), "2.5", "2.5" + "0" * 39), (lambda x: ex.round_(x, 0), "-2.5", "-3"), (lambda x: ex.round_(x, "0.5"), "1", "E_NOT_INT"), (lambda x: ex.add(x, 1), "abc", "E_NOT_NUM"), (lambda x: ex.add(x, x), "-0.0", "0.0"),
     (lambda x: x - number("0.5"), "0.50", "0.00"), (lambda x: -x, "0.00", "0.00"), (lambda x: x % 3, "-5", "-2"), (lambda x: x % 2, "5.5", "1.5"), (lambda x: x % 0, "5", "E_DIV_ZERO"),
     (lambda x: x / 2, "4", "2"), (lambda x: x / 4, "10", "2.5"), (lambda x: x / 8, "1", "0.125"), (lambda x: x / 3, "1", "0.3333333333"), (lambda x: x / 3, "2", "0.6666666667"), (lambda x: x / 3, "-2", "-0.6666666667"), (lambda x: x / 0, "1", "E_DIV_ZERO"), (lambda x: x / number("0.50"), "2.50", "5"),
     (lambda x: n.round_(x, 0), "2.5", "3"), (lambda x: n.round_(x, 0), "-2.5", "-3"), (lambda x: n.round_(x, 3), "2", "2.000"), (lambda x: n.round_(x, -1), "2", "E_RANGE"),
@@ -50,7 +55,7 @@ TEXT_CASES = [
     # regular expressions
     (lambda x: r.rmatch("^abc$", x), "abc\n", "FALSE"), (lambda x: r.rmatch("a.c", x), "a\nc", "TRUE"), (lambda x: r.rmatch(r"^\d$", x), "١", "FALSE"), (lambda x: r.rmatch(r"^\w+$", x), "aż", "FALSE"), (lambda x: r.rmatch("[a[b]", x), "[", "TRUE"), (lambda x: r.rmatch("[a&&b]", x), "&", "TRUE"),
     (lambda x: r.rmatch("k", x, "i"), "K", "TRUE"), (lambda x: r.rmatch("s", x, "i"), "ſ", "TRUE"), (lambda x: r.rmatch("i", x, "i"), "İ", "FALSE"), (lambda x: r.rmatch("[a-z]", x, "i"), "K", "TRUE"), (lambda x: r.rmatch("ż", x, "i"), "ż", "E_BAD_ARG"),
-    (lambda x: r.rfind("a", x), "👍ża", "3"), (lambda x: r.rfind("q", x), "abc", "0"), (lambda x: r.rfind("^a|c", x), "bc", "2"),
+    (lambda x: r.rfind("a", x), "👍ża", "3"), (lambda x: r.rfind("q", x), "abc", "0"), (lambda x: r.rfind("^a|c", x), "bc", "2"), (lambda x: r.rfind("^", x), "aab", "1"), (lambda x: r.rfind("[^a]*", x), "aab", "1"), (lambda x: r.rfind("$", x), "👍b", "3"), (lambda x: r.rfind("^b", x), "ab", "0"), (lambda x: r.rfind("^", x), "", "1"), (lambda x: r.rfind("[^👍]", x), "👍👍ż", "3"), (lambda x: r.rfind("", x), "a", "1"),
     (lambda x: lists.join(r.rgroups("(a)|(b)", x), ","), "b", "b,,b"), (lambda x: lists.count(r.rgroups("q", x)), "b", "0"),
     (lambda x: r.rreplace("x*", "-", x), "ab", "-a-b-"), (lambda x: r.rreplace("(a)(b)", "$2$1$$\\", x), "abab", "ba$\\ba$\\"), (lambda x: r.rreplace("a", "$1", x), "a", "E_BAD_ARG"), (lambda x: r.rreplace("a", "$1", x), "b", "b"), (lambda x: r.rreplace("(a)", "$10", x), "a", "a0"), (lambda x: r.rreplace("^a", "X", x), "aaa", "Xaa"),
     # laziness
