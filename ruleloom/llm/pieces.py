@@ -3,8 +3,8 @@
 A text is cut where a word mark follows another character: no piece of such a vocabulary holds a mark after something
 else (checked when a vocabulary is loaded), so merges never cross these cuts. Each distinct chunk is merged by a
 score-ordered agenda of adjacent symbol pairs: for many short chunks at once as rows of an array (each step merges every
-row's best pair, the leftmost of equals), for long chunks or unknown characters with a heap. In every Arrow batch some
-whole texts are compared with the sentencepiece library.
+row's best pair, the leftmost of equals), for long chunks or unknown characters with a heap. Every whole text is compared
+with the sentencepiece library in its Arrow batch; a difference fails the task.
 
 Defined results: null text is empty, which gives no ids and decodes to the empty text; repeated rows are each encoded;
 an empty table gives an empty table; characters without a piece become byte pieces.
@@ -26,8 +26,9 @@ from .common import bounded_batches, slices, texts_of
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Chunks that a worker remembers, and whole texts of each batch that are compared with the library.
-REMEMBERED, COMPARED = 600_000, 2
+#: Chunks that a worker remembers, none of them longer than _LONG characters: in scripts without spaces a chunk may be a
+#: paragraph, which hardly comes again, so it is forgotten with its batch.
+REMEMBERED = 600_000
 _LONG, _NONE = 40, np.float32(-np.inf)
 
 
@@ -185,6 +186,8 @@ class Codec:
         for own in cut:
             listed = ",".join(map(ids, own))
             out.append((listed, listed.count(",") + 1 if own else 0, "".join(map(text, own))[1:]))
+        for c in [c for c in every if len(c) > _LONG]:
+            del self.ids_of[c], self.text_of[c]
         return out
 
 
@@ -198,23 +201,23 @@ def codec(model_file: str) -> Codec:
     return _codecs[model_file]
 
 
-def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text", compared: int = COMPARED) -> DataFrame:
+def encoded(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids as decimals, n_tokens, decoded text) of each document."""
-    return _mapped(docs, model_file, id_col, text, compared, digest=False)
+    return _mapped(docs, model_file, id_col, text, digest=False)
 
 
-def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text", compared: int = COMPARED) -> DataFrame:
+def digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of each document: only digests leave the worker."""
-    return _mapped(docs, model_file, id_col, text, compared, digest=True)
+    return _mapped(docs, model_file, id_col, text, digest=True)
 
 
-def _mapped(docs: DataFrame, model_file: str, id_col: str, text: str, compared: int, digest: bool) -> DataFrame:
+def _mapped(docs: DataFrame, model_file: str, id_col: str, text: str, digest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_file)
         for batch in slices(batches, 1024):
             texts = texts_of(batch)
             got = c.encoded(texts)
-            for t, (ids, _, back) in list(zip(texts, got, strict=True))[:compared]:
+            for t, (ids, _, back) in zip(texts, got, strict=True):
                 want = c.library.encode(t)
                 if ids != ",".join(map(str, want)) or back != c.library.decode(want):
                     raise ValueError("the agenda and the sentencepiece library differ")
