@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import time
 import uuid
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .common import bounded_batches, shared_dir, slices, texts_of
+from .common import Scratch, bounded_batches, delete, shared_dir, slices, texts_of
 
 COLUMNS = 64
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 48 << 20, 8 << 20, 8 << 20, 3
@@ -74,7 +75,23 @@ def from_png(png: bytes) -> np.ndarray:
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """File system and path of a folder; the names Hadoop has for S3 are known."""
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"archives cannot be kept in {uri}: use a local, hdfs, s3, gs or abfs folder") from e
+
+
+def _tried(read, tries: int, pause: float = 0.2):
+    """What read gives; tried again after an OSError."""
+    for n in range(tries):
+        try:
+            return read()
+        except OSError:
+            if n + 1 == tries:
+                raise
+            time.sleep(pause * 2**n)
+    raise AssertionError
 
 
 def write_archives(docs: DataFrame, root: str, id_col: str = "doc_id", text: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> int:
@@ -128,23 +145,30 @@ class Ranges(InputPartition):
 
 
 def read_member(files: fs.FileSystem, path: str, info: zipfile.ZipInfo, tries: int = TRIES, pause: float = 0.2) -> bytes:
-    """The member at an offset; opens the archive anew for each try, the sum is checked by zipfile."""
-    for n in range(tries):
-        try:
-            with files.open_input_file(path) as f:
-                f.seek(info.header_offset)
-                head = f.read(30)
-                skip = sum(struct.unpack_from("<HH", head, 26))
-                f.seek(info.header_offset + 30 + skip)
-                data = f.read(info.compress_size)
-            if zlib.crc32(data) != info.CRC:
-                raise OSError(f"member at {info.header_offset} of {path} is damaged")
-            return data
-        except OSError:
-            if n + 1 == tries:
-                raise
-            time.sleep(pause * 2**n)
-    raise AssertionError
+    """The member at an offset; opens the archive anew for each try."""
+
+    def read() -> bytes:
+        with files.open_input_file(path) as f:
+            f.seek(info.header_offset)
+            data = _member(info, info.header_offset, f.read(_HEAD + len(info.filename.encode()) + info.compress_size + (1 << 16)))
+        if data is None:
+            raise OSError(f"member at {info.header_offset} of {path} is damaged")
+        return data
+
+    return _tried(read, tries, pause)
+
+
+_HEAD = 30
+
+
+def _member(info: zipfile.ZipInfo, base: int, raw: bytes) -> bytes | None:
+    """A member's bytes from raw, which starts at base of the archive; None if its sum is wrong or something is missing."""
+    at = info.header_offset - base
+    if len(raw) < at + _HEAD:
+        return None
+    at += _HEAD + sum(struct.unpack_from("<HH", raw, at + 26))
+    data = raw[at : at + info.compress_size]
+    return data if len(data) == info.compress_size and zlib.crc32(data) == info.CRC else None
 
 
 class MediaReader(DataSourceReader):
@@ -169,10 +193,17 @@ class MediaReader(DataSourceReader):
         rows: list[tuple] = []
         size = 0
         for path, first, end in partition.ranges:
-            with files.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
-                infos = [x for x in archive.infolist() if first <= x.header_offset < end]
-            for info in infos:
-                data = read_member(files, path, info, self.tries)
+            infos, stop = _tried(lambda path=path: self._directory(files, path), self.tries)
+            own = [x for x in infos if first <= x.header_offset < end]
+            if not own:
+                continue
+            base = own[0].header_offset
+            stop = next((x.header_offset for x in infos if x.header_offset >= end), stop)
+            raw = _tried(lambda path=path, base=base, stop=stop: self._bytes(files, path, base, stop), self.tries)
+            for info in own:
+                data = _member(info, base, raw)
+                if data is None:
+                    data = read_member(files, path, info, self.tries)
                 name = info.filename.rpartition("/")[2].removesuffix(".png")
                 rows.append((int(name) if name else None, int(info.comment), data))
                 size += len(data)
@@ -182,6 +213,18 @@ class MediaReader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
+    @staticmethod
+    def _directory(files: fs.FileSystem, path: str) -> tuple[list[zipfile.ZipInfo], int]:
+        """Members in order of their offsets, and where the directory starts."""
+        with files.open_input_file(path) as f, zipfile.ZipFile(f) as archive:
+            return sorted(archive.infolist(), key=lambda x: x.header_offset), archive.start_dir
+
+    @staticmethod
+    def _bytes(files: fs.FileSystem, path: str, first: int, stop: int) -> bytes:
+        with files.open_input_file(path) as f:
+            f.seek(first)
+            return f.read(stop - first)
+
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
         ids, n, media = zip(*rows, strict=True)
@@ -226,6 +269,15 @@ def features(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def digests(docs: DataFrame, **columns: str) -> DataFrame:
+    """features() of all documents; the archives are deleted once their digests are kept."""
+    spark = docs.sparkSession
+    root = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    found = Scratch(spark, "features").keep(features(stored(docs, root, **columns)))
+    delete(spark, root)
+    return found
+
+
 def stored(docs: DataFrame, root: str | None = None, **columns: str) -> DataFrame:
     """(doc_id, n_bytes, media) of all documents, through archives in the shared folder."""
     spark = docs.sparkSession
