@@ -8,7 +8,8 @@
    confirmed on the full sets.
 4. Buckets that then still hold several components are compared in blocks of bounded size, members outside the largest
    component against all: first by sketch, then, for rows with a close pair, on the full sets. A block sends links that
-   join components, not pairs, so what moves follows a bucket's size, and no pair of different components is left out.
+   join components, not pairs, and no pair of different components is left out. A row of a bucket of n is sent to n / BLOCK
+   blocks, so very large buckets of texts that share a band but are not linked cost the square of n / BLOCK.
 
 At the threshold 0.8 a link is missed by all 32 bands with a chance of about 5e-8, and by the sketch with about 7.7e-7.
 

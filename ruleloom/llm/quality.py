@@ -70,6 +70,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """Both parts of the risk (positives as positive; unlabelled as negative without the positives among them) and the
+    gradient to follow: that of their sum, or away from the second part where it is negative."""
+    p, u = _sigmoid(xp @ w), _sigmoid(xu @ w)
+    negatives = lambda s: -np.log1p(-np.minimum(s, 1 - 1e-12)).mean()  # noqa: E731  # loss as negatives
+    positive = prior * -np.log(np.maximum(p, 1e-18)).mean()
+    negative = negatives(u) - prior * negatives(p)
+    as_positive = prior * (xp.T @ (p - 1)) / len(xp)
+    as_negative = xu.T @ u / len(xu) - prior * (xp.T @ p) / len(xp)
+    return positive, negative, as_positive + as_negative if negative >= 0 else -as_negative
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.05, decay: float = 1e-3) -> Model:
     """Gradient descent (Adam, all rows) on the non-negative risk with logistic loss."""
     xp, xu = expanded(positive), expanded(unlabelled)
@@ -77,14 +93,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     xp, xu = (np.clip((x - centre) / scale, -6, 6) for x in (xp, xu))
     xp, xu = (np.concatenate([x, np.ones((len(x), 1))], 1) for x in (xp, xu))
     w, m, v = np.zeros(xp.shape[1]), 0.0, 0.0
-    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     for t in range(1, steps + 1):
-        p, u = sig(xp @ w), sig(xu @ w)
-        soft_p, soft_u = -np.log1p(-np.minimum(p, 1 - 1e-12)), -np.log1p(-np.minimum(u, 1 - 1e-12))  # loss as negatives
-        negative = soft_u.mean() - prior * soft_p.mean()
-        as_positive = prior * (xp.T @ (p - 1)) / len(xp)
-        as_negative = xu.T @ u / len(xu) - prior * (xp.T @ p) / len(xp)
-        g = as_positive + as_negative if negative >= 0 else -as_negative  # where the risk turned negative, step back
+        g = risk(w, xp, xu, prior)[2]
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)

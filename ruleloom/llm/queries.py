@@ -32,7 +32,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.trained(docs, table(spark, sf_dir, "labels"), quality.learnable())
     got = quality.scored(docs, model)
-    return got.select("doc_id", (~quality.learnable()).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
+    return got.select("doc_id", F.coalesce(~quality.learnable(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= quality.THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.features(media.stored(table(spark, sf_dir, "documents")))
+    return media.digests(table(spark, sf_dir, "documents"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,14 @@ QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_url_filter, op3_quality
 
 _HOST = "translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
-_RULES = sorted(urls.RULES, key=lambda r: (-len(r[1]) - len(r[2]), -len(r[1])))
-_CASE = lambda what: "CASE " + " ".join(f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{what(v, h, p)}'" for v, h, p in _RULES) + " END"
+# the rules, longest first, spelled out so that a wrong rule in the code shows
+_CASE = lambda what: " ".join(["CASE", *(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(r, v)[what]}'" for h, p, r, v in (
+    ("example.com", "/en/7", "example.com/en/7", "allow"),
+    ("example.net", "/de/8", "example.net/de/8", "block"),
+    ("com", "/en/", "com/en/", "block"),
+    ("net", "/de/", "net/de/", "allow"),
+    ("org", "/es/", "org/es/", "block"),
+)), "END"])
 
 OP2_SQL = f"""
 WITH cut AS (
@@ -76,7 +82,7 @@ WITH cut AS (
 ), parts AS (SELECT page_id, {_HOST} AS host, {_PATH} AS path FROM cut),
 named AS (
   SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(\\.html|/)$', '') END AS canonical,
-    {_CASE(lambda v, h, p: h + p)} AS rule, {_CASE(lambda v, h, p: v)} AS says FROM parts
+    {_CASE(0)} AS rule, {_CASE(1)} AS says FROM parts
 ), listed AS (SELECT DISTINCT canonical FROM named WHERE page_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND canonical IS NOT NULL)
 SELECT page_id, host, path, rule, CASE WHEN says IS NOT NULL THEN says WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict FROM named
 """
