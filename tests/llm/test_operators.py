@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -175,6 +176,32 @@ def test_op3_on_held_out_rows(spark):
     assert held and np.mean([r.predicted == r.quality for r in held]) >= 0.9
 
 
+@pytest.mark.parametrize("prior,clamped", [(0.3, False), (0.95, True)])
+def test_risk_against_a_plain_version(prior, clamped):
+    """Loss, clamp and gradient, by a loop over rows and by differences."""
+    r = np.random.default_rng(4)
+    xp, xu, w = r.normal(1, 1, (20, 5)), r.normal(1.2, 1, (30, 5)), r.normal(size=5) * 0.5
+    soft = lambda z: np.log(1 + np.exp(z))
+
+    def plain(w):
+        first = prior * sum(soft(-(x @ w)) for x in xp) / len(xp)
+        second = sum(soft(x @ w) for x in xu) / len(xu) - prior * sum(soft(x @ w) for x in xp) / len(xp)
+        return first, second
+
+    if clamped:
+        xu = xu - 3 * np.sign(w)  # what is unlabelled looks negative, so the second part is below zero
+    first, second, g = quality.risk(w, xp, xu, prior)
+    assert np.allclose((first, second), plain(w)) and (second < 0) == clamped
+    follow = (lambda w: -plain(w)[1]) if clamped else (lambda w: sum(plain(w)))
+    steps = np.eye(5) * 1e-6
+    assert np.allclose(g, [(follow(w + s) - follow(w - s)) / 2e-6 for s in steps], atol=1e-6)
+
+
+def test_a_null_id_is_not_held_out(spark):
+    got = spark.createDataFrame([(None,), (7,)], "doc_id long").select(F.coalesce(~quality.learnable(), F.lit(False)).alias("h")).collect()
+    assert [x.h for x in got] == [False, zlib.crc32(b"7") % 5 == 0]
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     docs, df = odd
     labels = spark.createDataFrame([(i, 1 if i != 15 else 0) for i in docs if i < 130 or i > 200] + [(9999, None), (None, 1)], "doc_id long, quality int")
@@ -211,6 +238,15 @@ def test_pieces_equal_the_library(codec):
         assert codec.heap("▁" + t.replace(" ", "▁")) == want or not t
 
 
+def test_long_chunks_are_not_remembered(codec):
+    """A script without spaces: each text is one chunk."""
+    before = len(codec.ids_of)
+    texts = ["".join(chr(R.randrange(0x4E00, 0x9FA0)) for _ in range(300)) for _ in range(200)]
+    got = codec.encoded(texts)
+    assert len(codec.ids_of) == before and len(codec.text_of) == before
+    assert [g[0] for g in got] == [",".join(map(str, codec.library.encode(t))) for t in texts]
+
+
 def test_pieces_on_odd_rows(spark, odd, empty, codec):
     docs, df = odd
     got = pieces.encoded(df, queries.public_tokenizers.path("piece_bpe_32k.model")).collect()
@@ -276,6 +312,17 @@ def test_members_are_retried_alone(tmp_path):
     assert media.read_member(fs.LocalFileSystem(), str(tmp_path / "a.zip"), infos[1], pause=0) == b"two" * 50
 
 
+def test_folders_of_archives(spark, odd):
+    from ruleloom.llm.common import shared_dir
+
+    with pytest.raises(ValueError):
+        media._at("dbfs:/somewhere")
+    root = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(root.glob("media-*"))
+    assert media.digests(odd[1]).count() == odd[1].count()
+    assert set(root.glob("media-*")) == before
+
+
 # 6 near duplicates
 
 
@@ -589,7 +636,7 @@ def test_vectors_on_odd_rows(spark, block, monkeypatch):
     assert embed.near_duplicates(df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("dim", [8, 16, 32, 64, 256])
+@pytest.mark.parametrize("dim", [8, 16, 32, 64, 256, 384, 768])
 def test_pairs_meet_in_any_dimension(dim):
     r = np.random.default_rng(5)
     u, w = r.normal(size=(2, 2000, dim))
@@ -602,6 +649,14 @@ def test_pairs_meet_in_any_dimension(dim):
     assert meets.mean() > 0.99
 
 
+@pytest.mark.parametrize("dim", [64, 384, 768])
+def test_cells_of_random_vectors_stay_small(dim):
+    """Of 20 000 vectors that are not alike, no own cell holds more than a few."""
+    u = np.random.default_rng(6).normal(size=(20_000, dim))
+    own = np.concatenate([embed.cells(x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros(len(x), np.int64))[:, :, 0] for x in np.array_split(u, 20)])
+    assert max(np.unique(own[:, t], return_counts=True)[1].max() for t in range(embed.TABLES)) <= 40
+
+
 def test_lattice_decoding_is_nearest():
     y = np.random.default_rng(1).normal(size=(300, 8)) * 2
     p = embed.decoded(y)
