@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ruleloom.llm import bloom, neardup, packing, quality, secrets, suffix
+from ruleloom.llm import neardup, packing, quality, secrets, suffix
 from ruleloom.llm.common import Scratch, table
 
 #: No stage has an equivalent in SQL; the stages are tested against brute force.
@@ -23,10 +23,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document (the smallest id) of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    gone = Scratch(spark, "gone").keep(neardup.near_duplicates(docs, size=5, threshold=0.8).where("not kept").select("doc_id").distinct())
-    clean, maybe = bloom.parted(docs, gone, "doc_id")
-    return clean.unionByName(maybe.join(gone, "doc_id", "left_anti")).select(*docs.columns)
+    """Keeps one document (the smallest id) of each group of near duplicates: five-word shingles, similarity 0.8 or more.
+    Of several texts with one id only near duplicates go; rows that repeat both id and text become one."""
+    return neardup.deduped(docs, size=5, threshold=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

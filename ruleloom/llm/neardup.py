@@ -8,8 +8,10 @@
    confirmed on the full sets.
 4. Buckets that then still hold several components are compared in blocks of bounded size, members outside the largest
    component against all: first by sketch, then, for rows with a close pair, on the full sets. A block sends links that
-   join components, not pairs, and no pair of different components is left out. A row of a bucket of n is sent to n / BLOCK
-   blocks, so very large buckets of texts that share a band but are not linked cost the square of n / BLOCK.
+   join components, not pairs, and no pair of different components is left out. The sketches of a bucket of n rows are sent
+   to at most SPREAD blocks each while n is at most SPREAD * LARGE, to n / LARGE beyond it; full sets, of rows with a close
+   pair in another component only, to n / BLOCK. Sketches of rows whose sets' sizes allow a link are still all compared, so
+   the comparisons, not the rows moved, follow the square of a bucket of texts that share a band but are not linked.
 
 At the threshold 0.8 a link is missed by all 32 bands with a chance of about 5e-8, and by the sketch with about 7.7e-7.
 
@@ -28,14 +30,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import bloom
 from .common import Scratch, bounded_batches, dealt_join, freeing, group_starts, mix, slices, texts_of, whole_groups
 from .components import components
 
 HASHES, BANDS, SKETCH_WORDS = 128, 32, 8
-#: Rows of each side of a block of an open bucket.
+#: Rows of each side of a block of an open bucket that carries full sets.
 BLOCK = 256
+#: Blocks that sketches are sent to in a bucket of up to SPREAD * LARGE rows, and the most rows of a side of such a block.
+SPREAD, LARGE = 16, 16_384
 _REMEMBERED = 100_000
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -143,9 +148,11 @@ def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return _sets(asked, size).join(ids, ["doc_id", "h0"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "s")
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows of open buckets as blocks of at most about BLOCK x BLOCK rows, sorted."""
-    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int")
+def _dealt(rows: DataFrame, light: bool = False) -> DataFrame:
+    """Rows of open buckets as blocks of at most about BLOCK x BLOCK rows, sorted; light rows (sketches) in larger ones, so
+    that they are repeated less."""
+    block = F.greatest(F.lit(BLOCK), F.least(F.ceil(F.col("n") / SPREAD), F.lit(LARGE))) if light else F.lit(BLOCK)
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
     ni, nj = chunks(F.col("n") - F.col("most")), chunks(F.col("n"))
     own = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
@@ -191,17 +198,23 @@ def _blocks(t: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _close(t: pa.Table, l: np.ndarray, r: np.ndarray, most: int, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row numbers of pairs of different components that the sketches and the sizes of the sets allow, for some rows of l at once."""
+    """Row numbers of pairs of different components that the sketches and the sizes of the sets allow, some rows of each side at once."""
     comp, n = t.column("component").to_numpy(), t.column("n_shingles").to_numpy()
     sketch = t.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(t.num_rows, SKETCH_WORDS)
+    hundred = round(threshold * 100)
+    l, r = (x[np.argsort(n[x], kind="stable")] for x in (l, r))
     for at in range(0, len(l), 256):
         p = l[at : at + 256]
-        bits = np.zeros((len(p), len(r)), np.int64)
-        for w in range(SKETCH_WORDS):
-            bits += np.bitwise_count(sketch[p, w][:, None] ^ sketch[r, w])
-        small, large = np.minimum(n[p][:, None], n[r]), np.maximum(n[p][:, None], n[r])
-        x, y = np.nonzero((bits <= most) & (comp[p][:, None] != comp[r]) & (100 * small >= round(threshold * 100) * large))
-        yield p[x], r[y]
+        first, stop = np.searchsorted(100 * n[r], hundred * n[p[0]]), np.searchsorted(hundred * n[r], 100 * n[p[-1]], side="right")
+        for to in range(first, stop, 4096):
+            q = r[to : min(to + 4096, stop)]
+            bits = np.zeros((len(p), len(q)), np.uint16)
+            for w in range(SKETCH_WORDS):
+                bits += np.bitwise_count(sketch[p, w][:, None] ^ sketch[q, w])
+            x, y = np.nonzero(bits <= most)
+            x, y = p[x], q[y]
+            ok = (comp[x] != comp[y]) & (100 * np.minimum(n[x], n[y]) >= hundred * np.maximum(n[x], n[y]))
+            yield x[ok], y[ok]
 
 
 def _asked(rows: DataFrame, most: int, threshold: float) -> DataFrame:
@@ -262,7 +275,7 @@ def _across(rows: DataFrame, most: int, threshold: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs."""
+    """(doc_id, n_shingles, component_id, kept, h0, h1) for each row of docs; h0 and h1 name its set."""
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "neardup")
@@ -295,7 +308,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     open_ = counts.groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", "n").alias("major")).where("parts > 1").drop("parts")
     light = reps.select("doc_id", "n_shingles", "sketch")
     rows = scratch.keep(dealt_join(placed, open_, ["key"], "doc_id"))
-    asked = scratch.keep(_asked(_dealt(rows.join(light, "doc_id")), most, threshold).distinct())
+    asked = scratch.keep(_asked(_dealt(rows.join(light, "doc_id"), light=True), most, threshold).distinct())
     ids = asked.select("doc_id").distinct().join(names, "doc_id")
     sets = scratch.keep(_sets_of(docs, ids, size).join(reps.select("doc_id", "n_shingles", "sketch", "bands"), "doc_id"))
     more = scratch.keep(_across(_dealt(rows.join(asked, ["key", "doc_id"], "left_semi").join(sets, "doc_id")), most, threshold).distinct())
@@ -304,4 +317,31 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_c
     by_class = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("h0", "h1", F.coalesce("component", "rep").alias("component_id"))
     answer = sigs.select("doc_id", "n_shingles", "h0", "h1").join(by_class, ["h0", "h1"], "left")
     linked = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    return answer.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), linked).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("doc_id").isNotNull(), linked)
+    return answer.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "h0", "h1")
+
+
+def deduped(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
+    """Rows of docs (doc_id, text, ...), one of each group of near-duplicates: the row with the smallest id.
+
+    Rows are judged one by one: where one id has several texts, only those that near_duplicates does not keep go, and of rows
+    with one id and one set one stays. Rows without words or with a null id all stay. Only texts of ids that lose a
+    row (and a Bloom filter's false positives) are shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "deduped")
+    each = near_duplicates(docs, size, threshold).where("doc_id is not null and n_shingles > 0")
+    told = scratch.keep(each.groupBy("doc_id", "h0", "h1").agg(F.min("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1"))
+    clean, maybe = bloom.parted(docs, told.select("doc_id").distinct(), "doc_id")
+    text = maybe.columns.index("text")
+
+    @freeing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 512):
+            names = np.stack([_named(s) if len(s := shingles(t or "", size)) else np.zeros(2, np.int64) for t in batch.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(names[:, k].copy()) for k in (0, 1))], names=[*batch.schema.names, "__h0", "__h1"])
+
+    schema = StructType([*maybe.schema.fields, StructField("__h0", LongType()), StructField("__h1", LongType())])
+    judged = maybe.mapInArrow(run, schema).join(told.selectExpr("doc_id", "h0 as __h0", "h1 as __h1", "kept as __kept", "n as __n"), ["doc_id", "__h0", "__h1"], "left")
+    stay = scratch.keep(judged.where("__kept is null or __kept"))
+    repeated = stay.where("__n is not null").dropDuplicates(["doc_id", "__h0", "__h1"])
+    return clean.unionByName(stay.where("__n is null").select(*docs.columns)).unionByName(repeated.select(*docs.columns)).select(*docs.columns)

@@ -44,7 +44,7 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8).drop("h0", "h1")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
