@@ -493,7 +493,7 @@ def _merged(doc: np.ndarray, at: np.ndarray, length: int) -> pa.RecordBatch:
 def _compared(rows: DataFrame, length: int, gram: int) -> DataFrame:
     @freeing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["name"], 16384):
+        for t in whole_groups(batches, ["name"], 8192):
             name, doc, first = (t.column(c).to_numpy() for c in ("name", "doc_id", "first"))
             one = np.sort(np.unique(np.stack([name, doc, first]), axis=1, return_index=True)[1])  # rows may repeat an id
             name, doc, first = name[one], doc[one], first[one]
