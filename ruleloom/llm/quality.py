@@ -2,11 +2,14 @@
 
 Trusted positives are rows labelled good; the rest of the web text is unlabelled. A logistic model over a fixed set of
 text statistics minimises the non-negative unbiased risk: prior * R(positive as +) + max(0, R(unlabelled as -) - prior *
-R(positive as -)), with an estimated class prior. The fit uses bounded samples (parameters below); scores are computed
-for every whole text.
+R(positive as -)). The class prior is estimated from positives and unlabelled rows alone: a first model is fitted on half
+of the rows, and on the other half the share of unlabelled rows above a score is divided by the share of positives above
+it; where hardly any other row scores that high, this quotient is the prior. Negative labels are never used. The fit uses
+bounded samples (parameters below); scores are computed for every whole text.
 
 Defined results: null and empty texts get a score from their (zero) statistics; repeated rows are each scored; labels that
-are null are not used; without positives every score is 1 (nothing is rejected); a null id is never used to learn.
+are null are not used; without positives every score is 1 (nothing is rejected); a null id is never used to learn; with
+fewer than two positives or unlabelled rows in a half the prior is 0.5.
 """
 
 from __future__ import annotations
@@ -101,6 +104,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(centre, scale, w[:-1], float(w[-1]), prior)
 
 
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Class prior from scores of both: the quotient of the shares at or above a score, at the score whose upper confidence
+    bound (with probability 1 - delta) is least."""
+    at = np.unique(np.concatenate([positive, unlabelled]))
+    share = lambda x: 1 - np.searchsorted(np.sort(x), at) / len(x)
+    p, u = share(positive), share(unlabelled)
+    p, u = p[p > 0], u[p > 0]
+    slack = (np.log(4 / delta) / 2 / len(unlabelled)) ** 0.5 + (np.log(4 / delta) / 2 / len(positive)) ** 0.5
+    best = ((u + slack) / p).argmin()
+    return float(u[best] / p[best])
+
+
+def estimated_prior(x: np.ndarray, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """Class prior from the statistics x of rows that are positive, unlabelled or both: mean of two estimates, each on one half
+    of the rows with a model of the other half."""
+    odd = np.arange(len(x)) % 2 == 1
+    parts = [(positive & h, unlabelled & h) for h in (odd, ~odd)]
+    if min(part.sum() for half in parts for part in half) < 2:
+        return 0.5
+    found = []
+    for (p, u), (q, v) in (parts, parts[::-1]):
+        model = fit(x[p], x[u], 0.5, steps=400)
+        found.append(best_bin(model.scores(x[q]), model.scores(x[v])))
+    return min(1.0, max(0.01, sum(found) / 2))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """(doc_id, f): statistics of (doc_id, text)."""
 
@@ -116,15 +145,12 @@ def features(docs: DataFrame) -> DataFrame:
 def trained(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
     """Model from (doc_id, text) and (doc_id, quality); learn says which ids may be used.
 
-    The prior is the share of good rows among all labelled ones that may be used. Samples are the rows with the smallest
-    hashed ids, so they do not depend on how the input is partitioned.
+    Only labels of good rows are used. Samples are the rows with the smallest hashed ids, so they do not depend on how the
+    input is partitioned.
     """
-    known = labels.where(learn & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality")
-    n, good = known.agg(F.count(F.lit(1)), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0))).first()
-    if not good:
-        return None
+    good = labels.where(learn & (F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    positive = known.where("quality = 1").select("doc_id").distinct().orderBy(*order).limit(max_positive)
+    positive = good.distinct().orderBy(*order).limit(max_positive)
     other = [F.xxhash64("doc_id", F.lit(1)), F.col("doc_id")]
     unlabelled = docs.where(learn & F.col("doc_id").isNotNull()).select("doc_id").orderBy(*other).limit(max_unlabelled)
     ids = positive.withColumn("p", F.lit(1)).unionByName(unlabelled.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p"), F.min("p").alias("u"))
@@ -134,7 +160,7 @@ def trained(docs: DataFrame, labels: DataFrame, learn: Column, max_positive: int
     p, u = np.array([r["p"] == 1 for r in rows], bool), np.array([r["u"] == 0 for r in rows], bool)
     if not p.any() or not u.any():
         return None
-    return fit(f[p], f[u], good / n)
+    return fit(f[p], f[u], estimated_prior(f, p, u))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:

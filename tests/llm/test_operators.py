@@ -202,6 +202,19 @@ def test_a_null_id_is_not_held_out(spark):
     assert [x.h for x in got] == [False, zlib.crc32(b"7") % 5 == 0]
 
 
+def test_prior_is_estimated_without_negative_labels():
+    rng = np.random.default_rng(3)
+    for prior in (0.3, 0.6, 0.9):
+        good = rng.random(6000) < prior
+        x = rng.random((9000, quality.N_FEATURES)) * 0.1
+        x[:, 3] += np.concatenate([np.ones(3000), good]) * 0.2  # 3000 positives, then unlabelled rows
+        order = rng.permutation(9000)
+        p = (np.arange(9000) < 3000)[order]
+        assert abs(quality.estimated_prior(x[order], p, ~p) - prior) < 0.04
+    assert quality.best_bin(np.array([0.9, 0.8, 0.8, 0.7]), np.array([0.9, 0.8, 0.1, 0.1])) == 0.5
+    assert quality.estimated_prior(x[:3], np.ones(3, bool), np.ones(3, bool)) == 0.5
+
+
 def test_quality_on_odd_rows(spark, odd, empty):
     docs, df = odd
     labels = spark.createDataFrame([(i, 1 if i != 15 else 0) for i in docs if i < 130 or i > 200] + [(9999, None), (None, 1)], "doc_id long, quality int")
