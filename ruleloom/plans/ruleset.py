@@ -2,10 +2,14 @@
 
 Modes: ``strict`` fails the query at the first error, ``capture`` gives struct(value, error) per rule. Both are plain
 column expressions, so filters and column pruning reach the scan, and the same set runs on a stream.
+
+A rule may read results of rules before it: it is then a function of them (a dict of Terms by name). A failure of a result
+is a failure of what reads it, and the columns a result depends on are those of its reader too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +20,13 @@ from ..functions.terms import Term, as_bool, as_text, captured, strict, term
 
 @dataclass(frozen=True)
 class RuleSet:
-    rules: dict[str, Term]
+    rules: dict[str, Term | Callable[[dict[str, Term]], object]]
+
+    def __post_init__(self):
+        done: dict[str, Term] = {}
+        for n, t in self.rules.items():
+            done[n] = term(t(dict(done)) if callable(t) else t)
+        object.__setattr__(self, "rules", done)
 
     def columns(self, mode: str = "strict", names: list[str] | None = None) -> list[Column]:
         how = {"strict": lambda t: strict(_shown(t)), "capture": lambda t: captured(_shown(t))}[mode]

@@ -209,9 +209,9 @@ def in_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifted.members(read(spark, sf_dir, "customer").select("c_custkey"), done, "c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_in_relation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    have = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    have = read(spark, sf_dir, "orders").where(strict(logic.text_eq(text_col("o_orderstatus"), "P"))).select(F.col("o_custkey").alias("c_custkey"))
     return lifted.members(read(spark, sf_dir, "customer").select("c_custkey"), have, "c_custkey", present=False)
 
 
@@ -284,6 +284,14 @@ def error_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select(*_KEY.split(", "), c["error"].alias("code"), c["value"].cast("double").alias("value"))
 
 
+@query(f"""SELECT {_KEY}, CAST(price * (1 - disc) AS VARCHAR) AS net, CAST(price * (1 - disc) * tax AS VARCHAR) AS due,
+  CASE WHEN price * (1 - disc) * (1 + tax) > 50000 THEN 'gross ' || CAST(price * (1 - disc) + price * (1 - disc) * tax AS VARCHAR) ELSE '' END AS message FROM ({_LINES})""")
+def rules_on_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that read results of rules before them."""
+    rules = RuleSet({"net": price() * (1 - disc()), "due": lambda r: r["net"] * tax(), "message": lambda r: logic.if_(r["net"] + r["due"] > 50000, logic.concat("gross ", r["net"] + r["due"]), "")})
+    return _lines(spark, sf_dir).select(*_KEY.split(", "), *(shown(t).alias(n) for n, t in rules.rules.items()))
+
+
 def form_rules() -> RuleSet:
     name, seg, bal = text_col("c_name"), text_col("c_mktsegment"), money("c_acctbal")
     return RuleSet({

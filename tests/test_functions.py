@@ -147,3 +147,39 @@ def test_rule_set(spark):
     assert rules.rerun(df, ["bal"], ["name"]).columns == ["name", "bal"]
     assert {(x.rule, x.n) for x in rules.summary(df).collect()} == {("name", 1), ("bal", 1)}
     assert df.select(dump(lists.array_of(1, number("2.50")))).first()[0] == '-{"1"=t"1","2"=t"2.50"}'
+
+
+def test_rules_read_results_before_them(spark):
+    df = spark.createDataFrame([("4", "2"), ("4", "0"), ("x", "1")], "a string, b string")
+    a, b_ = text_col("a"), text_col("b")
+    rules = RuleSet({"half": a / b_, "label": lambda r: lg.concat("is ", r["half"]), "seen": lambda r: lg.if_(lg.text_eq(b_, "0"), "none", r["label"])})
+    got = [(r.half.value, r.half.error, r.label.value, r.label.error, r.seen.value, r.seen.error) for r in rules.apply(df, "capture", []).collect()]
+    assert got == [("2", None, "is 2", None, "is 2", None), (None, "E_DIV_ZERO", None, "E_DIV_ZERO", "none", None), (None, "E_NOT_NUM", None, "E_NOT_NUM", None, "E_NOT_NUM")]
+    assert rules.dependencies("label") == {"a", "b"} and rules.watch()["a"] == ["half", "label", "seen"]
+    with pytest.raises(KeyError):
+        RuleSet({"one": lambda r: r["two"], "two": 1})
+
+
+def test_registered_functions(spark):
+    from ruleloom.functions.registry import call, register_function, unregister_function
+
+    register_function("twice", 1, lambda x: lg.concat(x, x))
+    register_function("first_good", (1, None), lambda x, *more: lg.if_(t.is_blank(x), more[0] if more else "", x), lazy=True)
+    register_function("ratio", 2, lambda x, y: x / y)
+    try:
+        df = spark.createDataFrame([("4", "2"), ("4", "0"), ("", "1"), (None, "1")], "a string, b string")
+        a, b_ = text_col("a"), text_col("b")
+        cols = {"twice": call("TWICE", a), "good": call("first_good", a, 1 / (term(1) - 1)), "ratio": as_text(call("ratio", a, b_)), "deep": call("twice", call("ratio", a, b_))}
+        got = [tuple(r[n].error or r[n].value for n in cols) for r in df.select(*(captured(x).alias(n) for n, x in cols.items())).collect()]
+        assert got == [("44", "4", "2", "22"), ("44", "4", "E_DIV_ZERO", "E_DIV_ZERO"), ("", "E_DIV_ZERO", "E_NOT_NUM", "E_NOT_NUM"), ("E_NOT_TEXT",) * 4]
+        assert cols["deep"].deps == {"a", "b"}
+        with pytest.raises(TypeError, match="E_ARITY"):
+            call("ratio", a)
+        with pytest.raises(LookupError, match="E_UNKNOWN_FUNC"):
+            call("nothing", a)
+        for name, arity in (("twice", 1), ("2x", 1), ("x", (2, 1))):
+            with pytest.raises(ValueError):
+                register_function(name, arity, term)
+    finally:
+        for name in ("twice", "first_good", "ratio"):
+            unregister_function(name)
