@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import binary, exact, logic, numbers, regex, text
-from .functions.terms import captured, num_col, number, staged, strict, term, text_col
+from .functions.terms import captured, num_col, number, staged, strict, text_col
 from .functions.terms import as_text as _text
 from .operators import lifted, lists
 from .plans.ruleset import RuleSet
@@ -316,10 +316,11 @@ def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return RuleSet({"ok": ok}).where(read(spark, sf_dir, "customer", ("c_acctbal",)), "ok").select("c_custkey")
 
 
-@query(f"""SELECT o_orderkey, CAST(n * 3 + 1 AS BIGINT) AS folded FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN ({_LINES}) ON l_orderkey = o_orderkey GROUP BY 1)""")
+@query(f"""SELECT o_orderkey, CAST(1 + coalesce(sum(qty * l_linenumber), 0) AS VARCHAR) AS folded FROM orders LEFT JOIN ({_LINES}) ON l_orderkey = o_orderkey GROUP BY 1""")
 def fold_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folded = lists.fold(lists.list_col("ITEMS", _ITEM), term(1) + 0 * number(10**9), lambda acc, i: acc + 3)
-    return _nested(spark, sf_dir).select("o_orderkey", strict(folded).cast("long").alias("folded"))
+    start = number("1.00") + 0 * number("1000000000000.00")
+    folded = lists.fold(lists.list_col("ITEMS", _ITEM), start, lambda acc, i: acc + i["l_quantity"] * i["l_linenumber"])
+    return _nested(spark, sf_dir).select("o_orderkey", shown(folded).alias("folded"))
 
 
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE CAST(value AS DECIMAL(18,4)) < 10) AS BIGINT) AS low FROM events GROUP BY 1""")
